@@ -66,3 +66,19 @@ class Forest:
     def roots(self) -> np.ndarray:
         self.parent = self.root(np.arange(len(self.parent)))
         return self.parent
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int, learn_from: Column | None = None) -> DataFrame:
+    """(text, y): at most ``max_rows`` labelled texts, those of the lowest id hashes; durable.
+
+    A label is the largest that its id has; ids and labels that are null don't count.
+    """
+    from terracell.plans.durable import durable
+
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
+    if learn_from is not None:
+        rows = rows.where(learn_from)
+    chosen = rows.groupBy("doc_id").agg(F.max(target).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # At most max_rows pairs of numbers: small enough for every executor.
+    found = docs.select(F.col("doc_id"), "text").join(F.broadcast(durable(chosen)), "doc_id")
+    return durable(found.select("text", "y"))
