@@ -109,12 +109,13 @@ def _crowded_links(reach: DataFrame, home: DataFrame, hot: DataFrame) -> DataFra
     k = F.ceil(F.col("count") / CELL_ROWS).cast("long")
     block = F.pmod(F.xxhash64("fp"), k)
     all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    lefts = reach.join(hot, "cell").select("cell", "fp", block.alias("i"), all_blocks.alias("j"))
-    rights = home.join(hot, "cell").select("cell", "fp", block.alias("j"), all_blocks.alias("i"))
+    lefts = reach.join(hot, "cell").select("cell", "fp", block.alias("i"), all_blocks.alias("j"), F.lit(0).alias("side"))
+    rights = home.join(hot, "cell").select("cell", "fp", all_blocks.alias("i"), block.alias("j"), F.lit(1).alias("side"))
 
-    def forest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        both = np.unique(np.concatenate([a.fp.to_numpy(np.int64), b.fp.to_numpy(np.int64)]))
-        x, y = (np.searchsorted(both, np.unique(s.fp.to_numpy(np.int64))) for s in (a, b))
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, side = rows.fp.to_numpy(np.int64), rows.side.to_numpy()
+        both = np.unique(fp)
+        x, y = (np.searchsorted(both, np.unique(fp[side == s])) for s in (0, 1))
         bits, own = both.view(np.uint64), Forest(len(both))
         for at in range(0, len(x), 256):
             r, c = np.nonzero(np.bitwise_count(bits[x[at : at + 256], None] ^ bits[None, y]) <= MAX_BITS)
@@ -123,8 +124,7 @@ def _crowded_links(reach: DataFrame, home: DataFrame, hot: DataFrame) -> DataFra
         linked = root != np.arange(len(both))
         return pd.DataFrame({"a": both[linked], "b": both[root[linked]]})
 
-    keys = ["cell", "i", "j"]
-    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(forest, "a long, b long")
+    return lefts.unionByName(rights).groupBy("cell", "i", "j").applyInPandas(forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
