@@ -110,7 +110,7 @@ def node_dem(cloud: PointFrame, resolution: float = 1.0, k: int = 12, power: flo
 
 
 def _stencil(raster: Raster, name_of) -> DataFrame:
-    """Each cell with its 3 x 3 surroundings as v_<dr>_<dc>, edges repeated: two window passes, no self-join."""
+    """Each cell of a dense raster with its 3 x 3 surroundings, edges repeated: two window passes, no self-join."""
     df = raster.df
     cols = Window.partitionBy("row").orderBy("col")
     df = df.select("row", "col", F.col("value").alias("c"), F.coalesce(F.lag("value").over(cols), F.col("value")).alias("w"), F.coalesce(F.lead("value").over(cols), F.col("value")).alias("e"))
@@ -153,7 +153,7 @@ def hillshade(raster: Raster, azimuth: float = 315.0, altitude: float = 45.0) ->
 
 
 def moving(df: DataFrame, value: str, w: int, how: str, out: str) -> DataFrame:
-    """Moving min, max or sum over (2w + 1)-cell squares cut at the edges: one window pass by row, one by column."""
+    """Moving min, max or sum over (2w + 1)-cell squares of a dense raster, cut at the edges: one window pass by row, one by column."""
     f = {"min": F.min, "max": F.max, "sum": F.sum}[how]
     by_row = Window.partitionBy("row").orderBy("col").rangeBetween(-w, w)
     by_col = Window.partitionBy("col").orderBy("row").rangeBetween(-w, w)

@@ -362,24 +362,25 @@ def _(c):
     return rounded(raster.node_dem(c, 4.0).df, "value")
 
 
-SURFACE = f"WITH {P}, {BOUNDS}, q AS (SELECT {cells(5.0)}, z FROM p, b), t AS (SELECT row, col, max(z) AS v FROM q GROUP BY row, col), e AS (SELECT max(row) AS mr, max(col) AS mc FROM t)"
+SURFACE = f"WITH {P}, {BOUNDS}, {grid_size(10.0)}, {dense_cells()}, q AS (SELECT {cells(10.0)}, z FROM p, b), m AS (SELECT row, col, max(z) AS v FROM q GROUP BY row, col), t AS (SELECT d.row AS row, d.col AS col, coalesce(v, 0.0) AS v FROM d LEFT JOIN m USING (row, col)), e AS (SELECT max(row) AS mr, max(col) AS mc FROM t)"
 AROUND = "a AS (SELECT t.row AS row, t.col AS col, mr, mc, t.v AS c, " + ", ".join(
     f"(SELECT v FROM t u WHERE u.row = least(mr, greatest(0, t.row + {dr})) AND u.col = least(mc, greatest(0, t.col + {dc}))) AS v{'msp'[dr + 1]}{'msp'[dc + 1]}" for dr in (-1, 0, 1) for dc in (-1, 0, 1)
 ) + " FROM t, e)"
 
 
 def surface(c: PointFrame) -> raster.Raster:
-    grid = GridSpec.edges_of(c.bounds, 5.0, 1)
-    return raster.Raster(raster.max_z(c, grid), grid)
+    grid = GridSpec.edges_of(c.bounds, 10.0, 1)
+    high = grid.dense(c.df.sparkSession).join(raster.max_z(c, grid), ["row", "col"], "left").na.fill(0.0, ["value"])
+    return raster.Raster(high, grid)
 
 
-@query("r9_slope_aspect", f"""{SURFACE}, {AROUND}, k AS (SELECT row, col, (vsp - vsm) / CASE WHEN col > 0 AND col < mc THEN 10.0 ELSE 5.0 END AS gx, (vps - vms) / CASE WHEN row > 0 AND row < mr THEN 10.0 ELSE 5.0 END AS gy FROM a),
+@query("r9_slope_aspect", f"""{SURFACE}, {AROUND}, k AS (SELECT row, col, (vsp - vsm) / CASE WHEN col > 0 AND col < mc THEN 20.0 ELSE 10.0 END AS gx, (vps - vms) / CASE WHEN row > 0 AND row < mr THEN 20.0 ELSE 10.0 END AS gy FROM a),
 w AS (SELECT row, col, degrees(atan(sqrt(gx*gx+gy*gy))) AS s, degrees(atan2(-gx, gy)) AS d FROM k) SELECT row, col, {r('s', 'slope')}, {r('CASE WHEN d < 0 THEN d + 360 ELSE d END', 'aspect')} FROM w""")
 def _(c):
     return rounded(raster.slope_aspect(surface(c)), "slope", "aspect")
 
 
-@query("r9_hillshade", f"""{SURFACE}, {AROUND}, k AS (SELECT row, col, ((vmp+2*vsp+vpp)-(vmm+2*vsm+vpm))/40.0 AS gx, ((vpm+2*vps+vpp)-(vmm+2*vms+vmp))/40.0 AS gy FROM a)
+@query("r9_hillshade", f"""{SURFACE}, {AROUND}, k AS (SELECT row, col, ((vmp+2*vsp+vpp)-(vmm+2*vsm+vpm))/80.0 AS gx, ((vpm+2*vps+vpp)-(vmm+2*vms+vmp))/80.0 AS gy FROM a)
 SELECT row, col, {r('255 * greatest(0.0, cos(radians(45.0)) * cos(atan(sqrt(gx*gx+gy*gy))) + sin(radians(45.0)) * sin(atan(sqrt(gx*gx+gy*gy))) * cos(radians(135.0) - atan2(gy, -gx)))', 'shade', 5)} FROM k""")
 def _(c):
     return rounded(raster.hillshade(surface(c)), "shade", digits=5)
@@ -424,14 +425,14 @@ def _(c):
     return ground.classify_ground_csf(c.with_df(c.df.drop("classification")), 2.0, iterations=100).df.select("pid", "classification")
 
 
-@query("d1_cluster_dbscan", f"""WITH RECURSIVE {P}, q AS MATERIALIZED {near(1.2)}, k AS MATERIALIZED (SELECT ap AS pid FROM q GROUP BY ap HAVING count(*) >= 4),
+@query("d1_cluster_dbscan", f"""WITH RECURSIVE {P}, q AS MATERIALIZED {near(0.8)}, k AS MATERIALIZED (SELECT ap AS pid FROM q GROUP BY ap HAVING count(*) >= 3),
 e AS MATERIALIZED (SELECT ap AS a, bp AS b FROM q WHERE ap IN (SELECT pid FROM k) AND bp IN (SELECT pid FROM k)),
 t(pid, root) AS (SELECT a, b FROM e UNION SELECT t.pid, e.b FROM t JOIN e ON t.root = e.a WHERE e.b < t.pid OR e.b < t.root OR true),
 m AS (SELECT pid, min(root) AS root FROM t GROUP BY pid), n AS (SELECT pid, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m),
 w AS (SELECT ap AS pid, min(label) AS label FROM q JOIN n ON n.pid = bp GROUP BY ap)
 SELECT p.pid AS pid, CAST(coalesce(label, -1) AS INTEGER) AS label FROM p LEFT JOIN w USING (pid)""")
 def _(c):
-    return cluster.cluster_dbscan(c, 1.2, 4)
+    return cluster.cluster_dbscan(c, 0.8, 3)
 
 
 @query("d2_tree_tops", f"""WITH {P}, {BOUNDS}, g AS (SELECT greatest(2, CAST(ceil((x1 - x0) / 2.0) AS BIGINT) + 1) AS nx, greatest(2, CAST(ceil((y1 - y0) / 2.0) AS BIGINT) + 1) AS ny FROM b),
@@ -612,10 +613,10 @@ def _(c):
 
 
 @query("l1_prepare_features", f"""WITH {P}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, max(intensity) AS mi FROM p), w AS (SELECT max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS rad FROM p, m)
-SELECT pid, round((x - mx) / rad, 4) + 0.0 AS fx, round((z - mz) / rad, 4) + 0.0 AS fz, round(intensity / mi, 4) + 0.0 AS fi FROM p, m, w""")
+SELECT pid, round(CAST(CAST((x - mx) / rad AS FLOAT) AS DOUBLE), 9) + 0.0 AS fx, round(CAST(CAST((z - mz) / rad AS FLOAT) AS DOUBLE), 9) + 0.0 AS fz, round(CAST(CAST(intensity / mi AS FLOAT) AS DOUBLE), 9) + 0.0 AS fi FROM p, m, w""")
 def _(c):
     df = model.prepare_features(c)
-    return rounded(df.select("pid", *(F.col("features")[k].cast("double").alias(n) for k, n in ((0, "fx"), (2, "fz"), (3, "fi")))), "fx", "fz", "fi", digits=4)
+    return rounded(df.select("pid", *(F.col("features")[k].cast("double").alias(n) for k, n in ((0, "fx"), (2, "fz"), (3, "fi")))), "fx", "fz", "fi", digits=9)
 
 
 @query("l2_predict", f"WITH {P} SELECT pid, CASE WHEN z > 8 THEN 1 ELSE 0 END AS label FROM p")
