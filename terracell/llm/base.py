@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracell.plans.durable import durable
+from terracell.plans.forest import Forest  # noqa: F401
+
 #: Rows and bytes of an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -40,41 +42,11 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(True))
 
 
-class Forest:
-    """Union-find over 0..n-1 that takes whole arrays of links; roots are least members."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, x: np.ndarray) -> np.ndarray:
-        r = self.parent[x]
-        while True:
-            up = self.parent[r]
-            if np.array_equal(up, r):
-                return r
-            r = up
-
-    def union(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.root(a), self.root(b)
-            open_ = ra != rb
-            if not open_.any():
-                return
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
-
-    def roots(self) -> np.ndarray:
-        self.parent = self.root(np.arange(len(self.parent)))
-        return self.parent
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int, learn_from: Column | None = None) -> DataFrame:
     """(text, y): at most ``max_rows`` labelled texts, those of the lowest id hashes; durable.
 
     A label is the largest that its id has; ids and labels that are null don't count.
     """
-    from terracell.plans.durable import durable
-
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
     if learn_from is not None:
         rows = rows.where(learn_from)

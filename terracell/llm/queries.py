@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,5 +59,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_embedding_dedup, op3_toxicity, op4_quality_model, op5_quality_rules, op6_chat_format, op7_license_scan, op8_sharding, op9_mixing, op10_packing)
 }
 
-#: Learned models, iterated components, fingerprints, token ids and shard permutations have no practical SQL; tests/llm holds them against brute force.
-ORACLE: dict[str, str] = {}
+_PATTERN = "|".join(re.escape(c).replace("'", "''") for c in sorted(chat_format.CONTROL, key=len, reverse=True))
+_FRAME = len(chat_format.TURN + chat_format.TEXT + chat_format.END)
+
+#: The rest learn models or need fingerprints, token ids or 64-bit hashes that DuckDB has not; tests/llm holds them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+t(vec, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.vec),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT t.vec AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(root) AS component_id, min(root) = t.vec AS kept FROM t LEFT JOIN n ON n.a = t.vec GROUP BY t.vec""",
+    "op6_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, len(regexp_extract_all(t, '{_PATTERN}')) AS found, length(t) - length(replace(t, '\', '')) AS slashes FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY turn), '')) AS loss_sha256,
+CAST(sum({_FRAME} + length(r) + length(t) + CASE WHEN found > 0 THEN {len(chat_format.LEVELS[1])} + 2 * found + slashes ELSE 0 END) AS BIGINT) AS formatted_chars FROM k GROUP BY conv_id""",
+}
