@@ -1,26 +1,52 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table.
 
-Every step is a map-side combined minimum and one join of two durable tables,
-both of which adaptive execution can split when a hub owns many edges. Nothing
-is collected but one fingerprint row a round (see Kiveris et al., "Connected
-Components in MapReduce and Beyond", 2014).
+Each task first contracts the edges that it holds to stars around their least
+nodes; what is left is joined up by alternating large and small stars (Kiveris
+et al., "Connected Components in MapReduce and Beyond", 2014). Every step is a
+map-side combined minimum and one join of two durable tables, both of which
+adaptive execution can split when a hub owns many edges. Nothing is collected
+but one row a round.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.plans.durable import discard, durable
+from terracell.plans.forest import spanning_stars
 
+#: Edges that a task contracts at once: bounds its memory, not its input.
+CONTRACTED = 2_000_000
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.col("u") % 1000003).alias("s")).first()
-    return tuple(row)
+
+def _contract(batches):
+    def stars(held):
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spanning_stars(u, v)], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CONTRACTED:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or a leaf of one centre."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
+    return roles.where("leaf > 1 or leaf = 1 and least = 0").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u > v, distinct) -> the same components, nearer to stars around their minima."""
+    """edges (u > v) -> the same components, nearer to stars around their minima."""
     if large:
         arcs = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     else:
@@ -31,7 +57,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         kept = least.select("u", F.col("m").alias("v"))
         new = arcs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(kept)
-    out = durable(new.where("u <> v").distinct())
+    out = durable(new.where("u <> v").distinct().mapInArrow(_contract, "u long, v long"))
     discard(least)
     return out
 
@@ -45,18 +71,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
         .distinct()
+        .mapInArrow(_contract, "u long, v long")
     )
-    state = _state(current)
-    for _ in range(max_rounds if state[0] else 0):
+    rounds = 0
+    while not _are_stars(current):
+        if (rounds := rounds + 1) > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         larger = _star(current, True)
         discard(current)
         current = _star(larger, False)
         discard(larger)
-        before, state = state, _state(current)
-        if state == before:
-            break
-    else:
-        if state[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

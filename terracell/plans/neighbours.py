@@ -65,7 +65,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz",
 
     Rounds with growing cells: a query is settled once its k-th neighbour is no
     farther than the cell edge, as every point that near lies in the block around
-    it. The rest go on with twice the edge. When one block spans all points the
+    it. The rest go on with thrice the edge. When one block spans all points the
     remaining queries are settled by what is there.
     """
     q = durable(queries.select(*dict.fromkeys((*keep_a, *axes))))
@@ -77,7 +77,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz",
     if not edge:
         sides = [max(whole[f"max{c}"] - whole[f"min{c}"], 1e-9) for c in axes] if whole.n else [1.0]
         flat = [s for s in sides if s > 1e-6 * max(sides)]
-        edge = (math.prod(flat) * 2 * k / max(1, whole.n)) ** (1 / len(flat)) / 2
+        edge = (math.prod(flat) * k / max(1, whole.n)) ** (1 / len(flat))  # half as far again as the k-th of evenly spread points
     edge = max(edge, span * 1e-6, 1e-9)
     done, left = None, q
     rank = Window.partitionBy(*(f"a_{c}" for c in keep_a)).orderBy("d2", "b_pid")
@@ -96,7 +96,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz",
         done = part if done is None else done.unionByName(part)
         if last or left.isEmpty():
             return done
-        edge *= 2
+        edge *= 3
 
 
 def _candidates(a: DataFrame, b: DataFrame, edge: float, axes: str, keep_a: tuple, keep_b: tuple) -> DataFrame:
