@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.plans.durable import durable
 from terracell.plans.forest import Forest  # noqa: F401
+from terracell.plans.shipping import ship
 
 #: Rows and bytes of an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -22,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
