@@ -85,9 +85,11 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz",
     while True:
         last = edge >= span
         near = _candidates(left, p, edge, axes, keep_a, kept)
+        if not last:
+            near = near.where(F.col("d2") <= F.lit(edge * edge))  # all that can settle a query; ranked no further
         ranked = near.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k)
         if not last:
-            ranked = durable(ranked.where(F.col("d2") <= F.lit(edge * edge)))
+            ranked = durable(ranked)
             settled = ranked.where(F.col("n") == k).select(*(F.col(f"a_{c}") for c in keep_a))
             part = ranked.join(settled, [f"a_{c}" for c in keep_a], "left_semi")
             left = durable(left.join(settled.toDF(*keep_a), list(keep_a), "left_anti"))
