@@ -262,9 +262,15 @@ def _(c):
     return rounded(shape.orient_normals_to_viewpoint(c.with_df(df), (50, 50, 99)).df.select("pid", "nx", "ny", "nz"), "nx", "ny", "nz")
 
 
-@query("g2_knn_features")
+KNN_SHAPE = f"""WITH {P}, k AS (SELECT *, row_number() OVER (PARTITION BY ap ORDER BY d2, bp) AS r FROM {near(9)}),
+{MOMENTS.replace(f"FROM {near(2)} GROUP BY ap", "FROM k WHERE r <= 8 GROUP BY ap")},
+l AS (SELECT pid, e1 * n / (n - 1) AS a, (3*q-e1-e3) * n / (n - 1) AS b, e3 * n / (n - 1) AS c FROM e)
+SELECT pid, {r('CASE WHEN a > 1e-12 THEN (a-b)/a ELSE 0.0 END', 'linearity')}, {r('CASE WHEN a > 1e-12 THEN (b-c)/a ELSE 0.0 END', 'planarity')}, {r('CASE WHEN a > 1e-12 THEN c/a ELSE 0.0 END', 'sphericity')} FROM l"""
+
+
+@query("g2_knn_features", KNN_SHAPE)
 def _(c):
-    return rounded(shape.knn_features(c.df, 8), "linearity", "planarity", "sphericity", "verticality")
+    return rounded(shape.knn_features(c.df, 8).drop("verticality"), "linearity", "planarity", "sphericity")
 
 
 # ---- metrics
@@ -607,7 +613,12 @@ def _(c):
     return export.octree_table(c, 6, 400)
 
 
-@query("k9_segment_colors")
+HUES = {"red": "v q p p t v", "green": "t v v q p p", "blue": "p p t v v q"}
+
+
+@query("k9_segment_colors", f"""WITH {P}, l AS (SELECT pid, CAST(pid % 13 - 1 AS INTEGER) AS label FROM p), h AS (SELECT *, label / CAST((SELECT max(label) + 1 FROM l) AS DOUBLE) * 6 AS h FROM l),
+c AS (SELECT pid, label, CAST(floor(h) AS BIGINT) % 6 AS s, 0.9 AS v, 0.9 * (1 - 0.8) AS p, 0.9 * (1 - 0.8 * (h - floor(h))) AS q, 0.9 * (1 - 0.8 * (1 - (h - floor(h)))) AS t FROM h)
+SELECT pid, label, {', '.join(f"CAST(floor(255 * CASE WHEN label < 0 THEN 0.5 " + ' '.join(f'WHEN s = {k} THEN {e}' for k, e in enumerate(order.split())) + f" END) AS SMALLINT) AS {name}" for name, order in HUES.items())} FROM c""")
 def _(c):
     return colour.segment_colors(c.df.select("pid", (F.col("pid") % 13 - 1).cast("int").alias("label")))
 
