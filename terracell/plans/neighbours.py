@@ -78,6 +78,9 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz",
         sides = [max(whole[f"max{c}"] - whole[f"min{c}"], 1e-9) for c in axes] if whole.n else [1.0]
         flat = [s for s in sides if s > 1e-6 * max(sides)]
         edge = (math.prod(flat) * k / max(1, whole.n)) ** (1 / len(flat))  # half as far again as the k-th of evenly spread points
+        # Points gather on surfaces: where a point's own cell holds more than half of k, cells shrink as on a sheet.
+        full = p.groupBy(*(cell(F.col(c), edge) for c in axes)).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0
+        edge *= min(1.0, math.sqrt(k / 2 / full)) if full else 1.0
     edge = max(edge, span * 1e-6, 1e-9)
     done, left = None, q
     rank = Window.partitionBy(*(f"a_{c}" for c in keep_a)).orderBy("d2", "b_pid")
