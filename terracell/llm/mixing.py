@@ -119,15 +119,15 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = ENTR
     edge = sums.withColumn("upto", F.sum("n").over(by_source)).where("upto > rest and upto - n <= rest").select("s", "bucket", (F.col("upto") - F.col("n")).alias("before"))
     in_bucket = Window.partitionBy("s").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = drawn.join(edge, ["s", "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(in_bucket)).where("upto > rest").groupBy("s").agg(F.min("h").alias("cut"))
-    chosen = durable(plan.join(cuts, "s", "left").withColumnRenamed("s", "_s"))
+    chosen = durable(plan.join(cuts, "s", "left").toDF("_mix_s", "_mix_whole", "_mix_rest", "_mix_repeats", "_mix_cut"))
     discard(counted)
-    rows = docs.withColumn("_s", _key(F.col("source"))).join(F.broadcast(chosen), "_s")
-    epochs = F.sequence(F.lit(0), F.col("whole"))
-    uses = rows.select("*", F.explode(epochs).alias("epoch")).withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("epoch")))
-    # In the last epoch rows before the cut are used; without a cut, the rest covers the whole epoch (or is nothing).
-    used = uses.where((F.col("epoch") < F.col("whole")) | (F.col("_h") < F.col("cut")))
-    place = F.least((F.col("epoch") + (F.col("_h").cast("double") / 2.0**64 + 0.5)) / F.col("repeats"), F.lit(math.nextafter(1.0, 0.0)))
-    return used.withColumn("mix_key", place).select(*docs.columns, *new)
+    whole, cut, h, epoch = (F.col(f"_mix_{c}") for c in ("whole", "cut", "h", "epoch"))
+    rows = docs.withColumn("_mix_s", _key(F.col("source"))).join(F.broadcast(chosen), "_mix_s")
+    uses = rows.select("*", F.explode(F.sequence(F.lit(0), whole)).alias("_mix_epoch")).withColumn("_mix_h", F.xxhash64(F.col("doc_id"), epoch))
+    # In the last epoch rows before the cut are used. Without a cut nothing is: a rest is always less than an epoch.
+    used = uses.where((epoch < whole) | (h < cut))
+    place = F.least((epoch + (h.cast("double") / 2.0**64 + 0.5)) / F.col("_mix_repeats"), F.lit(math.nextafter(1.0, 0.0)))
+    return used.select(*docs.columns, epoch.alias("epoch"), F.col("_mix_repeats").alias("repeats"), place.alias("mix_key"))
 
 
 def mixture_rows(docs: DataFrame) -> DataFrame:
