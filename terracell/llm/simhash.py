@@ -152,7 +152,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     ids = durable(found.select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).where("kept").groupBy("doc_id").count())
-    kept = docs.join(ids.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    # Kept ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
+    once = ids.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
+    kept = docs.join(once.hint("shuffle_hash"), id_col, "left_semi")
     again = ids.where("count > 1 or doc_id is null")
     if not again.isEmpty():
         repeated = docs.alias("d").join(again.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")), "left_semi")
