@@ -38,12 +38,13 @@ def distance2(axes: str, left: str = "a", right: str = "b") -> Column:
 def radius_pairs(a: DataFrame, b: DataFrame, r: float, axes: str = "xyz", keep_a: tuple = ("pid",), keep_b: tuple = ("pid",)) -> DataFrame:
     """Pairs at distance r or less: a's columns as a_*, b's as b_*, d2, and offsets d<axis> = b - a.
 
-    The side copied to neighbour cells should be the smaller one: a.
+    The side copied to neighbour cells should be the smaller one: a. Size
+    estimates don't count the copies, so the join is told never to broadcast them.
     """
     left = around(a.select(*dict.fromkeys((*keep_a, *axes))), axes, r)
     right = b.select(*dict.fromkeys((*keep_b, *axes)), *(cell(F.col(c), r).alias(f"c{c}") for c in axes))
     on = [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in axes]
-    joined = left.alias("a").join(right.alias("b"), on)
+    joined = left.alias("a").hint("merge").join(right.alias("b"), on)
     return joined.select(
         *(F.col(f"a.{c}").alias(f"a_{c}") for c in keep_a),
         *(F.col(f"b.{c}").alias(f"b_{c}") for c in keep_b),
@@ -108,7 +109,7 @@ def _candidates(a: DataFrame, b: DataFrame, edge: float, axes: str, keep_a: tupl
     left = around(a, axes, edge)
     right = b.select("*", *(cell(F.col(c), edge).alias(f"c{c}") for c in axes))
     on = [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in axes]
-    return left.alias("a").join(right.alias("b"), on).select(
+    return left.alias("a").hint("merge").join(right.alias("b"), on).select(
         *(F.col(f"a.{c}").alias(f"a_{c}") for c in keep_a),
         *(F.col(f"b.{c}").alias(f"b_{c}") for c in keep_b),
         distance2(axes).alias("d2"),
