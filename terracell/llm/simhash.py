@@ -96,8 +96,10 @@ def links(fps: DataFrame) -> DataFrame:
     hot = durable(home.groupBy("cell").count().where(F.col("count") > CELL_ROWS))
     crowded = not hot.isEmpty()
     left, right = (reach.join(hot, "cell", "left_anti"), home.join(hot, "cell", "left_anti")) if crowded else (reach, home)
+    # Size estimates don't count the rows that explode adds: without the hint `left` would be broadcast when it is far too large.
     found = (
         left.alias("l")
+        .hint("merge")
         .join(right.alias("r"), F.col("l.cell") == F.col("r.cell"))
         .where((F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_BITS) & (F.col("l.moved") | (F.col("l.fp") < F.col("r.fp"))))
         .select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
