@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm.base import Forest, map_rows
@@ -64,7 +64,7 @@ def principal_axes(vectors: DataFrame, embedding_col: str) -> dict[int, np.ndarr
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["d", "m"])
 
-    def add(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"d": [key[0]], "m": [sum(np.frombuffer(m) for m in rows.m).tobytes()]})
 
     parts = map_rows(vectors.select(embedding_col), moments, "d int, m binary")
@@ -121,10 +121,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     placed = durable(map_rows(base, strips, f"uid long, label {label_kind}, embedding {vector_kind}, strip long, dims int").where("label is not null and strip is not null"))
     group = ["label", "dims", "strip"]
-    blocks = durable(placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("k")))
-    after = blocks.select("label", "dims", (F.col("strip") - 1).alias("strip"), F.col("k").alias("k_next"))
-    before = blocks.select("label", "dims", (F.col("strip") + 1).alias("strip"), F.col("k").alias("k_before"))
-    sized = durable(blocks.join(after, group, "left").join(before, group, "left").na.fill(0, ["k_next", "k_before"]))
+    # A label has few strips, 2 / width at most, so its window is small whatever its rows.
+    by_strip = Window.partitionBy("label", "dims").orderBy("strip")
+    beside = lambda f, d: F.when(f("strip").over(by_strip) == F.col("strip") + d, f("k").over(by_strip)).otherwise(0)
+    sized = (
+        placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("k"))
+        .withColumns({"k_next": beside(F.lead, 1), "k_before": beside(F.lag, -1)})
+    )
 
     def count(n: str):
         return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
@@ -175,11 +178,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     found = durable(dealt.groupBy("label", "dims", "at", "step", "i", "j").applyInArrow(compare, "uid long, links long, peer long"))
     roots = durable(connected_components(found, "uid", "peer"))
-    links = durable(found.groupBy("uid").agg(F.sum("links").alias("n_links")))
+    links = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
     ids = base.select("uid", "vec_id")
     named = durable(ids.join(roots, ids.uid == roots.node, "left").select("uid", "vec_id", F.coalesce("root", "uid").alias("root")))
     least = durable(named.groupBy("root").agg(F.min("vec_id").alias("component_id")))
-    discard(placed, blocks, sized, found, roots)
+    discard(placed, roots)
     return (
         named.join(least, "root")
         .join(links, "uid", "left")
