@@ -148,17 +148,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id stays.
+    """The rows of ``docs`` without near duplicates: exactly one row of each group stays.
 
-    Rows that repeat an id (or have none) within a kept group are reduced to one.
+    It is the one with the smallest id; a row without an id stays only where its whole group has none.
+    Equal ids are told apart by their texts, so rows of other groups never count as repeats.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    ids = durable(found.select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).where("kept").groupBy("doc_id").count())
-    # Kept ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
-    once = ids.where("count = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    kept = docs.join(once.hint("shuffle_hash"), id_col, "left_semi")
-    again = ids.where("count > 1 or doc_id is null")
+    key = "_key"
+    keyed = docs.withColumn(key, _row_key(id_col, text_col))
+    found = near_duplicates(keyed, key, text_col)
+    keys = durable(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).count())
+    # Kept keys grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
+    kept = keyed.join(keys.where("count = 1").select(key).hint("shuffle_hash"), key, "left_semi")
+    again = keys.where("count > 1").select(key)
     if not again.isEmpty():
-        repeated = docs.alias("d").join(again.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")), "left_semi")
-        kept = kept.unionByName(repeated.dropDuplicates([id_col]))
+        kept = kept.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
     return kept.select(*docs.columns)
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Orders rows by id, those without one last, then by text; only rows of one id and one text share it."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))

@@ -99,6 +99,13 @@ def test_keep_one_keeps_one_of_each_group_and_all_columns(spark):
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def test_keep_one_tells_null_and_repeated_ids_apart(spark):
+    one, two, three = ("the quick brown fox jumps high", "some wholly other text stands here", "a third text of no relation at all")
+    rows = [(None, one), (None, two), (None, two), (None, three), (4, three), (6, "first of two texts under six"), (6, "nothing in common with that one there"), (6, "nothing in common with that one there")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(out.collect(), key=str) == sorted([(None, one), (None, two), (4, three), (6, rows[5][1]), (6, rows[6][1])], key=str)
+
+
 def test_simhash_of_an_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(1, "a b", 3, 4), (None, "a b", 5, 6)], "doc_id long, text string, fp long, component_id long")
