@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.llm import shingles
 from terracell.llm.base import LOWER, Forest, map_rows, texts
 from terracell.plans.components import connected_components
 from terracell.plans.durable import discard, durable
@@ -147,16 +148,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.join(of_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: exactly one row of each group stays.
 
+    Groups are texts whose word shingles reach the Jaccard similarity. No radius of a 64-bit fingerprint
+    that can be searched reaches all of those, so candidates come from shingles themselves, none left out.
     It is the one with the smallest id; a row without an id stays only where its whole group has none.
     Equal ids are told apart by their texts, so rows of other groups never count as repeats.
     """
     key = "_key"
     keyed = docs.withColumn(key, _row_key(id_col, text_col))
-    found = near_duplicates(keyed, key, text_col)
-    keys = durable(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).count())
+    found = shingles.near_duplicates(keyed, key, text_col, shingle_words, similarity)
+    keys = durable(found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias(key)).count())
     # Kept keys grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
     kept = keyed.join(keys.where("count = 1").select(key).hint("shuffle_hash"), key, "left_semi")
     again = keys.where("count > 1").select(key)

@@ -106,6 +106,33 @@ def test_keep_one_tells_null_and_repeated_ids_apart(spark):
     assert sorted(out.collect(), key=str) == sorted([(None, one), (None, two), (4, three), (6, rows[5][1]), (6, rows[6][1])], key=str)
 
 
+def test_keep_one_matches_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "ONE  two", "x " * 900]
+    for k in range(50):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 160))] + "one common line that many of the documents here do have".split() * (k % 2)
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            near = words[:]
+            for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+                near[rng.randrange(len(near))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+
+    def plain(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [plain(t) for t in texts]
+    linked = lambda i, j: sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and linked(i, j)]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert sum(bin(fps[i] ^ fps[j]).count("1") > 3 for i, j in near) > 10  # beyond operator 1's radius
+    want = sorted(set(plain_components(len(texts), linked)))
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == want
+    assert simhash.keep_one(out.limit(0)).collect() == []
+
+
 def test_simhash_of_an_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(1, "a b", 3, 4), (None, "a b", 5, 6)], "doc_id long, text string, fp long, component_id long")
