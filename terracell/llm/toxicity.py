@@ -1,11 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Every token that could
-hide a word (digits or symbols among letters, runs of a letter, single letters
-set apart) becomes a lattice of restorations: leetspeak and look-alikes may be
+hide a word (digits or symbols among letters, a letter twice or more in a row,
+single letters set apart) becomes a lattice of restorations: leetspeak and look-alikes may be
 read as letters, repeats and separators may be dropped, gaps may be word breaks.
 Viterbi search finds the likeliest restoration under the character model. A
-token of plain letters has a lattice of one path and needs no search. The
+token of plain letters, none repeated, has a lattice of one path and needs no search. The
 restored text's words and word beginnings are then scored by a logistic model.
 """
 
@@ -40,7 +40,7 @@ LONGEST_SPAN = 200
 
 _EDGES = re.compile(r"^[^\w@$!|+(&€£¡]+|[^\w@$!|+&€£]+$")
 _DECORATION = re.compile(r"^([^\w])\1\1+|([^\w])\2\2+$|[!&+|(]+$")
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1")
 _APART = re.compile(r"[\s._*\-][^\W_][\s._*\-]{1,3}[^\W_][\s._*\-]")
 _SPACED = re.compile(r"(?<![^\s._*\-])(?:[^\s._*\-][\s._*\-]{1,3}){2,}[^\s._*\-](?![^\s._*\-])")
 _GAP = re.compile(r"[\s._*\-]+")

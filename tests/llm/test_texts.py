@@ -76,6 +76,14 @@ def test_toxicity_learns_and_sees_through_disguise(spark, tables):
     assert min(scorer.of(bad, restorer, {})) > 0.5
 
 
+def test_toxicity_sees_through_doubled_letters(spark, tables):
+    scorer = toxicity.train(*tables)
+    restorer = toxicity.Restorer(scorer.language)
+    bad = [b"the iidiot inre", b"the idiioott inre", b"the mmoron inre", b"the sscum inre", b"the scuumm inre", "the ιdιιot inre".encode()]
+    assert min(scorer.of(bad, restorer, {})) > 0.5
+    assert "letter" in restorer.words("a letter")
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], DOCS)
     none = spark.createDataFrame([], LABELS)
