@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ READS = {
 LEET_COST, DROP_SYMBOL, DROP_DIGIT, DROP_REPEAT, DROP_DOUBLE, BREAK_COST, WIDE_BREAK_COST = 1.0, 3.0, 7.0, 0.3, 4.0, 3.0, 0.5
 MAX_ROWS, MAX_CANDIDATES, MAX_FEATURES, MIN_DOCUMENTS = 12_000, 30_000, 500, 5
 CACHE = 300_000
-LONGEST_SPAN = 200
+#: Characters after which what all states agree on is set down, so that states stay short.
+SETTLE = 256
 
 _EDGES = re.compile(r"^[^\w@$!|+(&€£¡]+|[^\w@$!|+&€£]+$")
 _DECORATION = re.compile(r"^([^\w])\1\1+|([^\w])\2\2+$|[!&+|(]+$")
@@ -44,6 +46,7 @@ _RUN = re.compile(r"(.)\1")
 _APART = re.compile(r"[\s._*\-][^\W_][\s._*\-]{1,3}[^\W_][\s._*\-]")
 _SPACED = re.compile(r"(?<![^\s._*\-])(?:[^\s._*\-][\s._*\-]{1,3}){2,}[^\s._*\-](?![^\s._*\-])")
 _GAP = re.compile(r"[\s._*\-]+")
+_JOINT = re.compile(r"[^\w@$!|+(&€£¡.*\-]+")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 
@@ -94,7 +97,7 @@ def decode(span: str, model: np.ndarray) -> str:
     """The likeliest restoration of a lower-cased span: words with single spaces."""
     # A state is the last two codes; it holds its cost and what was restored so far.
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    run, before = 0, ""
+    run, before, settled = 0, "", ""
     gaps = {m.start(): m.group() for m in _GAP.finditer(span)}
     inside = 0
     for at, c in enumerate(span):
@@ -133,8 +136,12 @@ def decode(span: str, model: np.ndarray) -> str:
                 if to not in new or total < new[to][0]:
                     new[to] = (total, said)
         states = dict(sorted(new.items(), key=lambda x: x[1][0])[:24]) if len(new) > 24 else new
+        if at % SETTLE == SETTLE - 1:
+            agreed = len(commonprefix([text for _, text in states.values()]))
+            settled += next(iter(states.values()))[1][:agreed]
+            states = {k: (cost, text[agreed:]) for k, (cost, text) in states.items()}
     ends = [(cost + (float(model[a, b, 0]) if b else 0.0), text) for (a, b), (cost, text) in states.items()]
-    return min(ends)[1].strip() if ends else ""
+    return (settled + min(ends)[1]).strip()
 
 
 class Restorer:
@@ -154,9 +161,12 @@ class Restorer:
         plain = len(parts) == 1 and parts[0] == core
         if plain and not _RUN.search(core) and not any(c in READS for c in core):
             return (core,)
-        if len(core) > LONGEST_SPAN or "://" in core or core.count("@") and "." in core:
-            return tuple(parts)  # an address: not a disguised word
-        return tuple(dict.fromkeys([*decode(_GAP.sub("", core) if not plain else core, self.model).split(), *parts]))
+        whole = core if plain else _GAP.sub("", core)
+        # Words may be joined by any symbols (addresses, lists): pieces are restored as well as the whole.
+        joined = _JOINT.split(core)
+        pieces = dict.fromkeys([whole, *(_GAP.sub("", p) for p in joined), *(p for j in joined for p in _GAP.split(j))])
+        found = [w for p in pieces for w in ((p,) if p.isalpha() and p.isascii() and not _RUN.search(p) else decode(p, self.model).split())]
+        return tuple(dict.fromkeys([*found, *parts]))
 
     def words(self, text: str) -> set[str]:
         text = text.translate(_INVISIBLE).lower()
@@ -171,9 +181,7 @@ class Restorer:
             found.update(got)
         if _APART.search(f" {text} "):
             for m in _SPACED.finditer(text):
-                span = m.group()
-                for at in range(0, len(span), LONGEST_SPAN):
-                    found.update(decode(span[at : at + LONGEST_SPAN], self.model).split())
+                found.update(decode(m.group(), self.model).split())
         return found
 
 

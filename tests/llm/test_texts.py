@@ -84,6 +84,20 @@ def test_toxicity_sees_through_doubled_letters(spark, tables):
     assert "letter" in restorer.words("a letter")
 
 
+def test_toxicity_decodes_long_spans_and_addresses(spark, tables, monkeypatch):
+    scorer = toxicity.train(*tables)
+    restorer = toxicity.Restorer(scorer.language)
+    for shift in range(12):  # whichever characters of the span the word covers
+        long = " ".join("the" * 30 + "inre" * shift) + "  " + " ".join("idiot") + "  " + " ".join("the" * 20)
+        assert "idiot" in restorer.words(long)
+    bad = ["x@the.1d10t.on", "http://the.on/1d10t", "/".join(["the", "inre"] * 40 + ["m0r0n"]), "inre,the;sc*um,on@re.the"]
+    assert min(scorer.of([b.encode() for b in bad], restorer, {})) > 0.5
+    span = " ".join("the1n5t0nreid10t" * 9)
+    whole = toxicity.decode(span, scorer.language)
+    monkeypatch.setattr(toxicity, "SETTLE", 3)
+    assert toxicity.decode(span, scorer.language) == whole
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], DOCS)
     none = spark.createDataFrame([], LABELS)
