@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm.base import LOWER, map_rows, texts
@@ -26,6 +26,8 @@ from terracell.plans.durable import discard, durable
 
 #: Cells that shingles are counted in to order them, and cells of a row of counts.
 COUNTED, PART = 1 << 20, 1 << 14
+#: Bits that say which texts are wanted; a false yes costs a set that is dropped by the next join.
+BITS = 1 << 23
 #: Keeps a product with a similarity that is an integer from being rounded up.
 TINY = 1e-9
 _STEP = 0x9E3779B97F4A7C15
@@ -58,25 +60,25 @@ def _prefix(n: int, similarity: float) -> int:
 
 
 def _measured(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, digest) of every row; besides, rows of ``part`` and ``counts``: how many sets of a task have a shingle of each cell."""
+    """(key, digest, mark) of every row, ``mark`` a hash of the text; besides, rows of ``part`` and ``counts``: how many sets of a task have a shingle of each cell."""
     kind = docs.schema[key].dataType
 
     def run(batches):
         counts, of = np.zeros(COUNTED, np.int32), None
-        names = ["key", "digest", "part", "counts"]
+        names = ["key", "mark", "digest", "part", "counts"]
         for b in batches:
             digests, of = [], b.column(0).type
             for t in texts(b.column(1)):
                 found = shingle_set(t, words)
                 digests.append(_digest(found))
                 np.add.at(counts, (found % np.uint64(COUNTED)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.int64()), pa.nulls(len(digests), pa.int32()), pa.nulls(len(digests), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.int64()), pa.nulls(len(digests), pa.int32()), pa.nulls(len(digests), pa.binary())], names=names)
         if of is not None:
             n = COUNTED // PART
             rows = pa.array([counts[k * PART : (k + 1) * PART].tobytes() for k in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), rows], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), rows], names=names)
 
-    return map_rows(docs.select(key, text), run, f"key {kind.simpleString()}, digest long, part int, counts binary")
+    return map_rows(docs.select(key, text, F.xxhash64(text).alias("_mark")), run, f"key {kind.simpleString()}, mark long, digest long, part int, counts binary")
 
 
 def _frequencies(measured: DataFrame) -> np.ndarray:
@@ -113,21 +115,45 @@ def _prefixes(docs: DataFrame, text: str, words: int, similarity: float, counts:
     return map_rows(docs.select(text), run, "shingle long, digest long, n int, at int")
 
 
-def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+def _wanted(marks: DataFrame) -> np.ndarray:
+    """A bit set for every mark: BITS bits, whatever the input."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(8 * PART, np.uint8)
+        bits[rows.bit.to_numpy() % (8 * PART)] = 1
+        return pd.DataFrame({"part": [rows.part.iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    bits = marks.select(F.pmod("mark", F.lit(BITS)).alias("bit")).distinct().withColumn("part", F.floor(F.col("bit") / (8 * PART)).cast("int"))
+    out = np.zeros(BITS, bool)
+    for r in bits.groupBy("part").applyInPandas(pack, "part int, bits binary").collect():
+        out[r.part * 8 * PART : (r.part + 1) * 8 * PART] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
+    return np.packbits(out)
+
+
+def _sets(docs: DataFrame, text: str, words: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(digest, shingles) of the nodes in ``pairs``, durable; texts stay where they are."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(met.join(nodes, "digest").select("mark")))
+
     def run(batches):
+        bits = np.unpackbits(shared.value)
         for b in batches:
-            found = [shingle_set(t, words) for t in texts(b.column(0))]
+            chosen = b.filter(pa.array(bits[b.column(1).to_numpy() % BITS] > 0))
+            found = [shingle_set(t, words) for t in texts(chosen.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    return map_rows(docs.select(text), run, "digest long, shingles array<long>")
+    found = map_rows(docs.select(text, F.xxhash64(text).alias("mark")), run, "digest long, shingles array<long>")
+    return durable(found.dropDuplicates(["digest"]))
+
 
+def _possible(shared: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can reach the similarity, of (a, b, n, m, i, j): sizes, and places of a shingle that both prefixes have.
 
-def _possible(a: str, b: str, similarity: float) -> Column:
-    """Whether the sizes and the shingles left after the shared one leave room for the similarity."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    # Of the shingles before the shared one none, or some met already, may be common: only as many as the lesser place.
-    most = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) + F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))
-    return most >= similarity / (1 + similarity) * (n + m) - TINY
+    Up to the last such shingle the sets have just those in common, and beyond it at most what the shorter rest holds.
+    """
+    met = shared.groupBy("a", "b").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in "nmij"))
+    most = F.col("c") + F.least(F.expr("n - 1 - i"), F.expr("m - 1 - j"))
+    return met.where(most >= F.expr("n + m") * (similarity / (1 + similarity)) - TINY).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,30 +170,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ASCII case and spacing don't count. Null and empty texts are equal. ``docs`` is read again for each step.
     """
     measured = durable(_measured(docs, key, text, words))
-    base = measured.where("part is null").select("key", "digest")
-    nodes = durable(base.groupBy("digest").agg(F.min("key").alias("least")))
+    base = measured.where("part is null").select("key", "digest", "mark")
+    nodes = durable(base.groupBy("digest").agg(F.min("key").alias("least"), F.min("mark").alias("mark")))
 
-    ends = {f: getattr(F, f)("digest").over(Window.partitionBy("shingle")) for f in ("min", "max")}
-    shared = _prefixes(docs, text, words, similarity, _frequencies(measured)).withColumns(ends).where("min < max")
+    node = F.struct("digest", "n", "at")
+    ends = {f: getattr(F, f)(node).over(Window.partitionBy("shingle")) for f in ("min", "max")}
+    shared = _prefixes(docs, text, words, similarity, _frequencies(measured)).withColumns(ends).where("min.digest < max.digest")
     prefixes = durable(shared.select("shingle", "digest", "n", "at", F.col("min").alias("owner")).distinct())
-    met = prefixes.select("digest").distinct().join(nodes, "digest").select(F.col("least").alias(key))
-    sets = durable(_sets(docs.join(met.hint("shuffle_hash"), key, "left_semi"), text, words).dropDuplicates(["digest"]))
 
-    stars = durable(_verified(prefixes.where("digest <> owner").select(F.col("digest").alias("a"), F.col("owner").alias("b")).distinct(), sets, similarity))
+    to_owner = prefixes.where("digest <> owner.digest").selectExpr("digest a", "owner.digest b", "n", "owner.n m", "at i", "owner.at j")
+    near = durable(_possible(to_owner, similarity))
+    sets = _sets(docs, text, words, nodes, near)
+    stars = durable(_verified(near, sets, similarity))
+    discard(near, sets)
     first = durable(connected_components(stars))
     placed = prefixes.join(first.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ends = {f: getattr(F, f)("root").over(Window.partitionBy("shingle")) for f in ("min", "max")}
     apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root"))
-    pairs = (
+    both = (
         apart.alias("l")
         .hint("merge")
-        .join(apart.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.digest") < F.col("r.digest")) & (F.col("l.root") != F.col("r.root")) & _possible("l", "r", similarity))
-        .select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
-        .distinct()
+        .join(apart.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.digest") < F.col("r.digest")) & (F.col("l.root") != F.col("r.root")))
+        .selectExpr("l.digest a", "r.digest b", "l.n n", "r.n m", "l.at i", "r.at j")
     )
+    pairs = durable(_possible(both, similarity))
+    sets = _sets(docs, text, words, nodes, pairs)
     links = durable(stars.unionByName(_verified(pairs, sets, similarity)))
     roots = durable(connected_components(links))
     named = durable(nodes.join(roots, nodes.digest == roots.node, "left").select("digest", "least", F.coalesce("root", "digest").alias("root")))
     component = durable(named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component"))
-    discard(nodes, prefixes, sets, stars, first, apart, links, roots, named)
+    discard(nodes, prefixes, pairs, sets, stars, first, apart, links, roots, named)
     return base.join(component, "digest").select("key", "component")
