@@ -65,12 +65,13 @@ _FRAME = len(chat_format.TURN + chat_format.TEXT + chat_format.END)
 #: The rest learn models or need fingerprints, token ids or 64-bit hashes that DuckDB has not; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
     "op2_embedding_dedup": """
-WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
-l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
-t(vec, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.vec),
-n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT t.vec AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(root) AS component_id, min(root) = t.vec AS kept FROM t LEFT JOIN n ON n.a = t.vec GROUP BY t.vec""",
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS MATERIALIZED (SELECT u, label, list_transform(v, lambda x: coalesce(x, 0)) AS v FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+l AS MATERIALIZED (SELECT a.u AS a, b.u AS b FROM ok a JOIN ok b ON a.label = b.label AND a.u <> b.u AND len(a.v) = len(b.v) WHERE a.v = b.v OR CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.98),
+t(u, root) AS (SELECT u, u FROM e UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.u),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT t.u AS u, min(e.vec_id) AS component_id FROM t JOIN e ON e.u = t.root GROUP BY t.u)
+SELECT e.vec_id AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id AS component_id, e.vec_id IS NOT DISTINCT FROM c.component_id AS kept FROM e JOIN c USING (u) LEFT JOIN n ON n.a = e.u""",
     "op6_chat_format": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

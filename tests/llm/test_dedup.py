@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from terracell.llm import embedding_dedup, simhash
 
@@ -140,35 +141,94 @@ def test_simhash_of_an_empty_table_and_clashing_columns(spark):
 
 
 def plain_embeddings(rows, threshold):
+    """(vec_id, n_links, component_id, kept) of each row, in order of the rows."""
     unit = []
     for _, e, label in rows:
         ok = e and None not in e and np.isfinite(np.array(e, float)).all() and np.any(np.array(e, float)) and label is not None
         unit.append(np.array(e, float) / np.linalg.norm(np.array(e, float)) if ok else None)
 
     def linked(i, j):
-        return unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and rows[i][2] == rows[j][2] and float(unit[i] @ unit[j]) >= threshold
+        if unit[i] is None or unit[j] is None or len(unit[i]) != len(unit[j]) or rows[i][2] != rows[j][2]:
+            return False
+        return rows[i][1] == rows[j][1] or float(unit[i] @ unit[j]) >= threshold
 
-    roots = plain_components(len(rows), linked)
-    return {
-        rows[i][0]: (sum(linked(i, j) for j in range(len(rows)) if j != i), min(rows[j][0] for j in range(len(rows)) if roots[j] == roots[i]))
-        for i in range(len(rows))
-    }
+    roots, out = plain_components(len(rows), linked), []
+    for i, (vec, _, _) in enumerate(rows):
+        least = min((rows[j][0] for j in range(len(rows)) if roots[j] == roots[i] and rows[j][0] is not None), default=None)
+        out.append((vec, sum(linked(i, j) for j in range(len(rows)) if j != i), least, vec == least))
+    return out
 
 
-def test_embeddings_match_brute_force(spark, monkeypatch):
-    rng = np.random.default_rng(5)
+def embeddings_of(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+
+
+def hard_vectors(seed=5):
+    rng = np.random.default_rng(seed)
     rows = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0] * 15 + [float("inf")], 2), (904, [1.0] * 16, None), (905, [None] * 16, 2), (906, [], 2), (907, [1.0, 2.0], 2), (908, [2.0, 4.0], 2)]
+    rows += [(909, [1.0, 2.0, None], 2), (910, [1.0, None, 2.0], 2), (911, [1.0, 2.0], 2), (None, [1.0, 2.0], 2), (912, [0.0, 1.0], 2), (913, [-0.0, 1.0], 2), (None, None, None)]
     for k in range(60):
         v = rng.normal(size=16)
         for j in range(rng.integers(1, 5)):
             rows.append((k * 10 + int(j), [float(np.float32(x)) for x in v + rng.normal(size=16) * 0.1], int(k % 3)))
-    want = plain_embeddings(rows, 0.98)
-    for size in (4096, 5):  # one block, then many
+    # Copies, under other ids, under the same id and without one; ids that repeat with other vectors and labels.
+    rows += [(5000 + k, rows[40][1], rows[40][2]) for k in range(7)] + [rows[41]] * 3 + [(None, rows[41][1], rows[41][2])]
+    rows += [(rows[42][0], rows[60][1], rows[60][2]), (rows[42][0], rows[42][1], (rows[42][2] + 1) % 3)]
+    return rows
+
+
+def test_embeddings_match_brute_force(spark, monkeypatch):
+    rows = hard_vectors()
+    want = sorted(plain_embeddings(rows, 0.98), key=str)
+    for size in (8192, 40, 5):  # one block; several axes; many blocks a cell
         monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", size)
-        got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
-        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
-    assert any(n for n, _ in want.values())
+        got = embedding_dedup.near_duplicates(embeddings_of(spark, rows)).collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert any(n for _, n, _, _ in want)
+
+
+def test_embeddings_match_their_sql(spark):
+    import duckdb
+
+    from terracell.llm import queries
+
+    rows = hard_vectors(6)
+    con = duckdb.connect()
+    con.register("embeddings", embeddings_of(spark, rows).toArrow())
+    want = con.execute(queries.ORACLE["op2_embedding_dedup"]).fetchall()
+    got = embedding_dedup.near_duplicates(embeddings_of(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_embeddings_at_the_threshold_and_of_many_lengths(spark):
+    # Cosines of exactly 0.6 and 0.8, and of every length its own vectors.
+    rows = [(1, [1.0, 0.0], 0), (2, [3.0, 4.0], 0), (3, [0.0, -2.0], 0), (4, [3.0, -4.0], 0)]
+    rows += [(10 * d + k, [1.0] * d + [float(k)], 0) for d in range(3, 40) for k in (0, 0.01, 9)]
+    rows = [(int(i), v, label) for i, v, label in rows]
+    for threshold in (0.6, 0.8, 1.0):
+        got = embedding_dedup.near_duplicates(embeddings_of(spark, rows, "double"), threshold).collect()
+        assert sorted(map(tuple, got)) == sorted(plain_embeddings(rows, threshold))
+
+
+def test_large_groups_of_equal_and_near_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centre, other = rng.normal(size=32), rng.normal(size=32)
+    near = [[float(np.float32(x)) for x in centre + 0.02 * rng.normal(size=32)] for _ in range(5000)]
+    same = [float(np.float32(x)) for x in other]
+    rows = [(k, v, 1) for k, v in enumerate(near)] + [(k, same, 1) for k in range(5000, 10000)] + [(20000, same, 2)]
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 1500)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(embeddings_of(spark, rows)).collect()}
+    x = np.array(near)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert [got[k].n_links for k in range(5000)] == want.tolist()
+    assert want.min() > 0 and {got[k].component_id for k in range(5000)} == {0}
+    assert {got[k][1:3] for k in range(5000, 10000)} == {(4999, 5000)} and got[20000][1:] == (0, 20000, True)
+
+
+def test_embeddings_ignore_columns_of_their_own_names(spark):
+    rows = embeddings_of(spark, [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)]).withColumns({n: F.lit("x") for n in ("uid", "h", "w", "cell", "n_links", "component_id")})
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(rows).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
 def test_pruning_loses_no_pair():
