@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.plans.durable import discard, durable
+from terracell.plans.durable import discard, durable, sized
 from terracell.plans.forest import spanning_stars
 
 #: Edges that a task contracts at once: bounds its memory, not its input.
@@ -38,26 +38,26 @@ def _contract(batches):
         yield stars(held)
 
 
-def _are_stars(edges: DataFrame) -> bool:
+def _are_stars(edges: DataFrame, n: int) -> bool:
     """Whether every node is either a centre or a leaf of one centre."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
     roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
-    return roles.where("leaf > 1 or leaf = 1 and least = 0").isEmpty()
+    return sized(roles.where("leaf > 1 or leaf = 1 and least = 0"), 2 * n).isEmpty()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u > v) -> the same components, nearer to stars around their minima."""
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """n edges (u > v) -> the same components, nearer to stars around their minima."""
     if large:
         arcs = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     else:
         arcs = edges
-    least = durable(arcs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
+    least = durable(sized(arcs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), 2 * n))
     if large:
-        new = arcs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = sized(arcs.where("v > u").join(least, "u"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         kept = least.select("u", F.col("m").alias("v"))
-        new = arcs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(kept)
-    out = durable(new.where("u <> v").distinct().mapInArrow(_contract, "u long, v long"))
+        new = sized(arcs.join(least, "u"), n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(kept)
+    out = durable(sized(new.where("u <> v").distinct(), 2 * n).mapInArrow(_contract, "u long, v long"))
     discard(least)
     return out
 
@@ -70,16 +70,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     current = durable(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-        .distinct()
         .mapInArrow(_contract, "u long, v long")
     )
-    rounds = 0
-    while not _are_stars(current):
+    rounds, n = 0, current.count()
+    while not _are_stars(current, n):
         if (rounds := rounds + 1) > max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        larger = _star(current, True)
-        discard(current)
-        current = _star(larger, False)
-        discard(larger)
-    roots = current.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+        for large in (True, False):
+            new = _star(current, n, large)
+            discard(current)
+            current, n = new, new.count()
+    roots = sized(current.select(F.col("v").alias("node")).distinct(), n).withColumn("root", F.col("node"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -13,11 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Rows that are worth a task of their own, and tasks that a stage has at least.
+ROWS_A_TASK, LEAST_TASKS = 250_000, 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; in local mode, where none is set, a temporary one."""
+    """The cluster's shared folder, by setting or by ``setCheckpointDir``; in local mode, where none is set, a temporary one."""
     folder = spark.conf.get(_SETTING, None)
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
@@ -26,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def sized(df: DataFrame, rows: int, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df``, whose last stage reads up to ``rows`` rows, in no more tasks than those are worth; nothing moves."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // rows_a_task)))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, in the shared folder."""
     spark = df.sparkSession
