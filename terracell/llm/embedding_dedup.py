@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terracell.llm.base import Forest, map_rows
 from terracell.plans.components import connected_components
-from terracell.plans.durable import discard, durable
+from terracell.plans.durable import discard, durable, sized
 
 BLOCK_ROWS = 8192
 #: Axes that may cut a label's space, and how many times more nodes call for one more of them.
@@ -91,9 +91,9 @@ def principal_axes(vectors: DataFrame, embedding_col: str) -> dict[int, np.ndarr
         return pd.DataFrame({"d": [key[0]], "m": [total.tobytes()]})
 
     parts = map_rows(vectors.select(embedding_col), moments, "d int, m binary")
-    some = parts.groupBy("d", F.spark_partition_id() % 64).applyInPandas(add, "d int, m binary")
+    some = parts.groupBy("d", F.spark_partition_id() % 64).applyInPandas(add, "d int, m binary").coalesce(32)
     axes = {}
-    for d, m in some.groupBy("d").applyInPandas(add, "d int, m binary").collect():
+    for d, m in some.groupBy("d").applyInPandas(add, "d int, m binary").coalesce(8).collect():
         _, vectors_ = np.linalg.eigh(np.frombuffer(m).reshape(d, d))
         axes[d] = np.ascontiguousarray(vectors_[:, ::-1])
     return axes
@@ -138,37 +138,38 @@ def _sure(p: np.ndarray, q: np.ndarray, dot: np.ndarray, raw: np.ndarray, thresh
     return sure
 
 
-def _tiles(nodes: DataFrame) -> DataFrame:
-    """(uid, w, dims, embedding, cell, kind, i, j, side): every node once for each tile that it takes part in.
+def _tiles(nodes: DataFrame, n: int) -> DataFrame:
+    """(uid, w, dims, embedding, cell, kind, i, j, side): every one of n nodes once for each tile that it takes part in.
 
     Kind 0: block i of a cell against block j of its visitors, nodes of the cells before it; block i
     against itself where j is 0. Kind 1: blocks i and j of one cell, i < j.
     """
     c = [f"c{k}" for k in range(AXES)]
     group = ["label", "dims"]
-    finest = durable(nodes.groupBy(*group, *c).agg(F.count("*").alias("n")))
+    few = lambda df: sized(df, n)
+    finest = durable(few(nodes.groupBy(*group, *c).agg(F.count("*").alias("n"))))
     wanted = F.ceil(F.log(float(GROWTH), F.sum("n") / BLOCK_ROWS) - 1e-9).cast("int")
-    cut = finest.groupBy(*group).agg(F.greatest(F.lit(0), F.least(F.lit(AXES), wanted)).alias("k"))
+    cut = few(finest.groupBy(*group).agg(F.greatest(F.lit(0), F.least(F.lit(AXES), wanted)).alias("k")))
     masked = [F.when(F.col("k") > i, F.col(x)).otherwise(0).cast("int").alias(f"m{i}") for i, x in enumerate(c)]
     m = [f"m{i}" for i in range(AXES)]
-    of_finest = durable(finest.join(cut, group).select(*group, *c, "k", *masked, "n"))
-    cells = durable(of_finest.groupBy(*group, *m).agg(F.first("k").alias("k"), F.sum("n").alias("n")).withColumn("cell", F.monotonically_increasing_id()))
+    of_finest = durable(few(finest.join(cut, group)).select(*group, *c, "k", *masked, "n"))
+    cells = durable(few(of_finest.groupBy(*group, *m).agg(F.first("k").alias("k"), F.sum("n").alias("n"))).withColumn("cell", F.monotonically_increasing_id()))
     ahead = [o for o in product((-1, 0, 1), repeat=AXES) if o > (0,) * AXES]
     used = [max(i for i, x in enumerate(o) if x) for o in ahead]  # an offset counts where its last axis cuts
     offsets = F.array(*(F.struct(F.lit(u).alias("last"), *(F.lit(x).alias(f"o{i}") for i, x in enumerate(o))) for o, u in zip(ahead, used, strict=True)))
     moved = cells.where("k > 0").select(*group, "cell", "n", "k", *m, F.explode(offsets).alias("o")).where("o.last < k")
     moved = moved.select(*group, F.col("cell").alias("of"), F.col("n").alias("of_n"), *((F.col(f"m{i}") + F.col(f"o.o{i}")).alias(f"m{i}") for i in range(AXES)))
-    steps = durable(moved.join(cells.select(*group, *m, "cell", "n"), [*group, *m]).select("of", "of_n", "cell", "n"))
+    steps = durable(few(moved.join(cells.select(*group, *m, "cell", "n"), [*group, *m])).select("of", "of_n", "cell", "n"))
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    visited = steps.groupBy("cell").agg(blocks(F.sum("of_n")).alias("visiting"))
-    sized = durable(cells.select("cell", blocks(F.col("n")).alias("own")).join(visited, "cell", "left").na.fill(0, ["visiting"]))
+    visited = few(steps.groupBy("cell").agg(blocks(F.sum("of_n")).alias("visiting")))
+    counts = durable(few(cells.select("cell", blocks(F.col("n")).alias("own")).join(visited, "cell", "left")).na.fill(0, ["visiting"]))
     # A cell has 3 ** AXES / 2 cells ahead of it at most.
-    onward = steps.select("of", "cell").join(sized, "cell").groupBy(F.col("of").alias("cell")).agg(F.collect_list(F.struct("cell", "own", "visiting")).alias("ahead"))
-    plan = cells.select(*group, *m, "cell", "n").join(sized, "cell").join(onward, "cell", "left")
-    plan = of_finest.drop("n").join(plan, [*group, *m]).where("n > 1 or visiting > 0 or ahead is not null").select(*group, *c, "cell", "own", "visiting", "ahead")
+    onward = few(few(steps.select("of", "cell").join(counts, "cell")).groupBy(F.col("of").alias("cell")).agg(F.collect_list(F.struct("cell", "own", "visiting")).alias("ahead")))
+    plan = few(few(cells.select(*group, *m, "cell", "n").join(counts, "cell")).join(onward, "cell", "left"))
+    plan = few(of_finest.drop("n").join(plan, [*group, *m])).where("n > 1 or visiting > 0 or ahead is not null").select(*group, *c, "cell", "own", "visiting", "ahead")
     mine = F.pmod(F.xxhash64("uid"), F.col("own").cast("long")).cast("int")
     plan = durable(plan)
-    discard(finest, of_finest, cells, steps, sized)
+    discard(finest, of_finest, cells, steps, counts)
     rows = nodes.select("uid", "w", *group, *c, "embedding").join(plan, [*group, *c]).withColumn("block", mine)
 
     def upto(n):
@@ -225,6 +226,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     key = ["label", "dims", "h", "g"]
     folded = placed.groupBy(*key).agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), *(F.first(x).alias(x) for x in (*c, "embedding")))
     nodes = durable(folded.withColumn("uid", F.monotonically_increasing_id()))
+    n = nodes.count()
 
     def compare(found):
         uid, w, side = (found.column(x).to_numpy() for x in ("uid", "w", "side"))
@@ -256,15 +258,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         peer[order[1:][chained]] = uid[order[:-1][chained]]
         return pa.table({"uid": uid[linked], "links": links[linked], "peer": peer[linked]})
 
-    found = durable(_tiles(nodes).groupBy("cell", "kind", "i", "j").applyInArrow(compare, "uid long, links long, peer long"))
+    found = durable(_tiles(nodes, n).groupBy("cell", "kind", "i", "j").applyInArrow(compare, "uid long, links long, peer long"))
     roots = connected_components(found, "uid", "peer")
-    links = found.groupBy("uid").agg(F.sum("links").alias("links"))
+    few = lambda df: sized(df, n)
+    links = few(found.groupBy("uid").agg(F.sum("links").alias("links")))
     known = durable(
-        nodes.select("uid", *key, "w", "least").join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        few(few(nodes.select("uid", *key, "w", "least").join(links, "uid", "left")).join(roots.withColumnRenamed("node", "uid"), "uid", "left"))
         .select(*key, "least", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     )
-    of_root = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = durable(known.join(of_root, "root").select(*key, "n_links", "component_id"))
+    of_root = few(known.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_node = durable(few(known.join(of_root, "root")).select(*key, "n_links", "component_id"))
     discard(nodes, found, known)
     rows = named.select("vec_id", *key).join(of_node, key, "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
