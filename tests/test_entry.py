@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -27,6 +29,12 @@ def test_the_rest_works_without_the_training_data_package(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+@pytest.mark.parametrize("missing", ["xxhash", "tokenizers", "tiktoken", "public_tokenizers"])
+def test_the_rest_works_without_the_packages_of_the_training_data(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'g1_geometric_features' in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True)
+
+
 def test_nothing_imports_the_training_data_package():
     for f in (ROOT / "terracell").rglob("*.py"):
         if "llm" not in f.parts:
