@@ -37,10 +37,11 @@ _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u20
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes; remembers up to CACHE chunks.
+    """Ids of texts as little-endian 32-bit bytes, as ``tokenizers`` gives them; remembers up to CACHE chunks.
 
     Byte-level BPE never joins across a change from other characters to white
-    space, so a text's ids are its chunks' ids, joined.
+    space, so a text's ids are its chunks' ids, joined. Texts that hold the string
+    of an added token go to ``tokenizers`` whole, which gives that token's id.
     """
 
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None):
@@ -49,7 +50,8 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]))
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
@@ -61,7 +63,7 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
 

@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -124,6 +126,17 @@ def test_best_fit_steps(seed):
     assert len(at) == plan.n_sequences == plain_best_fit(lengths, 64)
 
 
+ENCODED = st.lists(st.sampled_from(["the ", "don't", "  ", "\n\n", "\x1c", "é", "漢字", "<|endoftext|>", "<|endoftext", "|>", "3.14", " ", "\u3000", "a", "'", "!!", "\t"]), max_size=25).map("".join)
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ENCODER = packing.Encoder()
+
+
+@settings(max_examples=500, deadline=None)
+@given(ENCODED)
+def test_ids_are_those_of_the_tokenizer(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     rng = random.Random(4)
     words = "the of hello wörld 漢字 a's it'll 3.14 -- <|endoftext|>   don't x\x1cy".split(" ")
@@ -131,7 +144,7 @@ def test_packing(spark):
     rows = [(k, t, None, None, 0) for k, t in enumerate(texts)] + [(0, None, None, None, 0)]
     out = packing.pack(spark.createDataFrame(rows, DOCS), with_ids=True).toPandas()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert t.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
     want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
     assert (out.doc_id == 0).sum() == 2
     for k, own in out[out.doc_id != 0].groupby("doc_id"):
