@@ -1,41 +1,52 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. Every token that could
-hide a word (digits or symbols among letters, a letter twice or more in a row,
-single letters set apart) becomes a lattice of restorations: leetspeak and look-alikes may be
-read as letters, repeats and separators may be dropped, gaps may be word breaks.
-Viterbi search finds the likeliest restoration under the character model. A
-token of plain letters, none repeated, has a lattice of one path and needs no search. The
-restored text's words and word beginnings are then scored by a logistic model.
+A character model of order four is counted over all documents and all letters
+that occur. Every token that could hide a word (digits or symbols among letters,
+a letter twice or more in a row, letters of another script that look alike, single
+letters set apart) becomes a lattice of restorations: leetspeak and look-alikes may
+be read as letters of a script that stands beside them, repeats and separators may
+be dropped, gaps may be word breaks. Viterbi search, exact and without a beam, finds
+the likeliest restoration under the character model. A token of plain letters, none
+repeated, has a lattice of one path and needs no search. The restored text's words
+and word beginnings are then scored by a logistic model.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from terracell.llm.base import held_out, labelled_sample, map_rows, texts
+from terracell.plans.durable import discard, durable
 
-#: Alphabet: 0 a word's bound, 1-26 a to z, 27-58 U+00DF to U+00FE, 59 any other letter.
-SIZE = 60
-_FIRST_LATIN = 0xDF
-#: What a character may stand for (fixed values, by custom of leetspeak and by look).
+#: Characters of the longest n-gram, and cells that n-grams are counted in by hash: the bound of what is broadcast (4 bytes a cell).
+ORDER, CELL_BITS, PART_BITS = 4, 22, 14
+BOUND = " "
+#: What a character may stand for among Latin letters (fixed values, by custom of leetspeak and by look).
 READS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "&": "a", "€": "e", "£": "l", "¡": "i",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b",
     "α": "a", "ε": "e", "ο": "o", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k",
 }
+#: The same among Cyrillic and among Greek letters (fixed values).
+SCRIPTS = (
+    (0x400, 0x530, {"0": "о", "3": "з", "4": "ч", "6": "б", "@": "а", "$": "с", "a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у", "x": "х", "k": "к", "m": "м", "t": "т", "h": "н", "b": "в"}),
+    (0x370, 0x400, {"0": "ο", "3": "ε", "4": "α", "1": "ι", "7": "τ", "@": "α", "a": "α", "e": "ε", "o": "ο", "i": "ι", "p": "ρ", "t": "τ", "u": "υ", "v": "ν", "k": "κ"}),
+)
 LEET_COST, DROP_SYMBOL, DROP_DIGIT, DROP_REPEAT, DROP_DOUBLE, BREAK_COST, WIDE_BREAK_COST = 1.0, 3.0, 7.0, 0.3, 4.0, 3.0, 0.5
-MAX_ROWS, MAX_CANDIDATES, MAX_FEATURES, MIN_DOCUMENTS = 12_000, 30_000, 500, 5
+#: Labelled rows to learn from at most; documents of either sort that a feature must stand in; how far from chance (G) it must be.
+MAX_ROWS, MIN_DOCUMENTS, LEAST_G = 12_000, 5, 25.0
 CACHE = 300_000
 #: Characters after which what all states agree on is set down, so that states stay short.
 SETTLE = 256
@@ -48,106 +59,168 @@ _SPACED = re.compile(r"(?<![^\s._*\-])(?:[^\s._*\-][\s._*\-]{1,3}){2,}[^\s._*\-]
 _GAP = re.compile(r"[\s._*\-]+")
 _JOINT = re.compile(r"[^\w@$!|+(&€£¡.*\-]+")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_STEP, _MIX, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
-def _code(c: str) -> int:
-    n = ord(c)
-    if 97 <= n <= 122:
-        return n - 96
-    if _FIRST_LATIN <= n < _FIRST_LATIN + 32:
-        return n - _FIRST_LATIN + 27
-    return 59 if c.isalpha() else 0
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(n).isalpha() for n in range(0x110000)), bool, 0x110000)
 
 
-_CODES = np.array([_code(chr(n)) for n in range(0x250)], np.uint8)
+def _cell(gram: str) -> int:
+    h = len(gram)
+    for c in gram:
+        h = (h * _STEP + ord(c)) & _WORD
+    return ((h ^ h >> 32) * _MIX & _WORD) >> 64 - CELL_BITS
+
+
+def _cells(symbols: np.ndarray, order: int) -> np.ndarray:
+    """The cells of all n-grams of that order that don't run over a word's bound."""
+    n = len(symbols) - order + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h, inside = np.full(n, order, np.uint64), np.ones(n, bool)
+    for k in range(order):
+        own = symbols[k : k + n]
+        h = h * np.uint64(_STEP) + own
+        if 0 < k < order - 1:
+            inside &= own != ord(BOUND)
+    h = h[inside]
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(_MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def count_characters(docs: DataFrame) -> np.ndarray:
-    """Trigram counts over all documents: one partial table a task, summed by Spark; SIZE ** 3 cells at most."""
+    """Counts of n-grams of 1 to ORDER letters over all documents, by cell.
+
+    Each task sums its own cells; Spark sums those that occur. What is gathered grows with the n-grams that the corpus has, up to 2 ** CELL_BITS cells.
+    """
 
     def run(batches):
-        total = np.zeros(SIZE**3, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             text = "\n".join(t.decode("utf-8", "replace") for t in texts(b.column(0))).lower()
             points = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), "<u4")
-            codes = np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], 59).astype(np.int32)
-            codes = codes[np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])]
-            x, y, z = codes[:-2], codes[1:-1], codes[2:]
-            total += np.bincount(np.where(y == 0, 0, x) * SIZE**2 + y * SIZE + z, minlength=SIZE**3)
-            first = codes[1] if len(codes) > 1 else 0
-            total[first] += 1
+            symbols = np.where(_letters()[points], points, ord(BOUND)).astype(np.uint64)
+            word = symbols != ord(BOUND)
+            symbols = symbols[np.concatenate([[True], word[1:] | word[:-1]])]
+            for order in range(1, ORDER + 1):
+                np.add.at(total, _cells(symbols, order), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << PART_BITS, np.float32)
+        out[rows.cell.to_numpy() & (1 << PART_BITS) - 1] = rows.n
+        return pd.DataFrame({"part": [int(rows.cell.iloc[0]) >> PART_BITS], "counts": [out.tobytes()]})
+
+    summed = map_rows(docs.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << CELL_BITS, np.float32)
+    for r in summed.groupBy(F.shiftright("cell", PART_BITS)).applyInPandas(pack, "part int, counts binary").collect():
+        counts[r.part << PART_BITS : (r.part + 1) << PART_BITS] = np.frombuffer(r.counts, np.float32)
+    return counts
+
+
+class CharacterModel:
+    """-ln P(last character | those before it) of an n-gram, each order backed by the next lower one in proportion to how little it was seen."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.known = counts, {}
+        single = np.append(np.flatnonzero(_letters()), ord(BOUND)).astype(np.uint64)
+        self.total = float(counts[np.unique(_cells(single, 1))].sum(dtype=np.float64))
+
+    def share(self, gram: str) -> float:
+        if len(gram) == 1:
+            return (float(self.counts[_cell(gram)]) + 1) / (self.total + 1000)
+        return (float(self.counts[_cell(gram)]) + 10 * self.share(gram[1:])) / (float(self.counts[_cell(gram[:-1])]) + 10)
+
+    def cost(self, gram: str) -> float:
+        out = self.known.get(gram)
+        if out is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            out = self.known[gram] = -math.log(self.share(gram))
+        return out
 
-    rows = map_rows(docs.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SIZE**3)
-    counts[rows.gram.to_numpy(np.int64)] = rows.n.to_numpy(float)
-    return counts.reshape(SIZE, SIZE, SIZE)
+    def __reduce__(self):
+        return _model_of, (self.counts, self.total)
 
 
-def language_model(counts: np.ndarray) -> np.ndarray:
-    """-ln P(c | a, b), each order backed by the next lower one in proportion to how little it was seen."""
-    unigram = (counts.sum((0, 1)) + 1) / (counts.sum() + SIZE)
-    pairs = counts.sum(0)
-    pairs = (pairs + 10 * unigram) / (pairs.sum(1, keepdims=True) + 10)
-    return -np.log((counts + 10 * pairs[None]) / (counts.sum(2, keepdims=True) + 10)).astype(np.float32)
+def _model_of(counts: np.ndarray, total: float) -> CharacterModel:
+    model = CharacterModel.__new__(CharacterModel)
+    model.counts, model.known, model.total = counts, {}, total
+    return model
 
 
-def decode(span: str, model: np.ndarray) -> str:
-    """The likeliest restoration of a lower-cased span: words with single spaces."""
-    # A state is the last two codes; it holds its cost and what was restored so far.
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    run, before, settled = 0, "", ""
+def lattice(span: str) -> list[list[tuple[str, float]]]:
+    """For each place of a lower-cased span, what may be written there and at which cost; a gap is one place."""
+    scripts = [READS, *(reads for lo, hi, reads in SCRIPTS if any(lo <= ord(c) < hi for c in span))]
     gaps = {m.start(): m.group() for m in _GAP.finditer(span)}
-    inside = 0
-    for at, c in enumerate(span):
-        if inside:
-            inside -= 1
-            continue
-        arcs: list[tuple[str, float]] = []
+    out, run, before, at = [], 0, "", 0
+    while at < len(span):
         if at in gaps:
-            inside = len(gaps[at]) - 1
-            arcs = [("", 0.0 if inside == 0 else 1.0), (" ", BREAK_COST if inside == 0 else WIDE_BREAK_COST)]
-            run, before = 0, ""
-        else:
-            run = run + 1 if c == before else 1
-            before = c
-            if c.isalpha():
-                arcs.append((c, 0.0))
-                if run > 1:
-                    arcs.append(("", DROP_REPEAT if run > 2 or span[at + 1 : at + 2] == c else DROP_DOUBLE))
-            arcs += [(r, LEET_COST) for r in READS.get(c, "")]
-            if not c.isalpha():
-                arcs.append(("", DROP_DIGIT if c.isdigit() else DROP_SYMBOL))
-                if run > 1:
-                    arcs.append(("", DROP_REPEAT))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+            wide = len(gaps[at]) > 1
+            out.append([("", 1.0 if wide else 0.0), (BOUND, WIDE_BREAK_COST if wide else BREAK_COST)])
+            run, before, at = 0, "", at + len(gaps[at])
+            continue
+        c, arcs = span[at], []
+        run, before = run + 1 if c == before else 1, c
+        letter = c.isalpha()
+        if letter:
+            arcs.append((c, 0.0))
+            if run > 1:
+                arcs.append(("", DROP_REPEAT if run > 2 or span[at + 1 : at + 2] == c else DROP_DOUBLE))
+        arcs += [(r, LEET_COST) for reads in scripts for r in reads.get(c, "")]
+        if not letter:
+            arcs.append(("", DROP_REPEAT if run > 1 else DROP_DIGIT if c.isdigit() else DROP_SYMBOL))
+        out.append(arcs)
+        at += 1
+    return out
+
+
+def search(places: list[list[tuple[str, float]]], model: CharacterModel) -> tuple[float, str]:
+    """The path of least cost through a lattice, by exact Viterbi search: (cost, words with single spaces).
+
+    A state is the last ORDER - 1 characters of the word at hand, its beginning included: all that the model looks at.
+    """
+    keep, cost_of = ORDER - 1, model.cost
+    states: dict[str, tuple[float, str]] = {BOUND: (0.0, "")}
+    settled = ""
+    for at, arcs in enumerate(places):
+        new: dict[str, tuple[float, str]] = {}
+        for state, (cost, text) in states.items():
             for out, price in arcs:
                 if out == "":
-                    to, total, said = (a, b), cost + price, text
-                elif out == " ":
-                    if b == 0:
-                        continue
-                    to, total, said = (0, 0), cost + price + float(model[a, b, 0]), text + " "
+                    to, total, said = state, cost + price, text
+                elif out == BOUND:
+                    if state == BOUND:  # a break beside a break says nothing
+                        to, total, said = state, cost + price, text
+                    else:
+                        to, total, said = BOUND, cost + price + cost_of(state + BOUND), text + BOUND
                 else:
-                    k = _code(out)
-                    to, total, said = (b, k), cost + price + float(model[a, b, k]), text + out
-                if to not in new or total < new[to][0]:
+                    gram = state + out
+                    to, total, said = gram[-keep:], cost + price + cost_of(gram), text + out
+                old = new.get(to)
+                if old is None or total < old[0] or (total == old[0] and said < old[1]):
                     new[to] = (total, said)
-        states = dict(sorted(new.items(), key=lambda x: x[1][0])[:24]) if len(new) > 24 else new
+        states = new
         if at % SETTLE == SETTLE - 1:
             agreed = len(commonprefix([text for _, text in states.values()]))
             settled += next(iter(states.values()))[1][:agreed]
             states = {k: (cost, text[agreed:]) for k, (cost, text) in states.items()}
-    ends = [(cost + (float(model[a, b, 0]) if b else 0.0), text) for (a, b), (cost, text) in states.items()]
-    return (settled + min(ends)[1]).strip()
+    cost, text = min((cost + (0.0 if state == BOUND else cost_of(state + BOUND)), text) for state, (cost, text) in states.items())
+    return cost, (settled + text).strip()
+
+
+def decode(span: str, model: CharacterModel) -> str:
+    """The likeliest restoration of a lower-cased span: words with single spaces."""
+    return search(lattice(span), model)[1]
 
 
 class Restorer:
     """Words of restored texts. Decoding is remembered by token, up to CACHE of them."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: CharacterModel):
         self.model, self.known = model, {}
 
     def token(self, raw: str) -> tuple[str, ...]:
@@ -185,15 +258,19 @@ class Restorer:
         return found
 
 
+#: Lengths of word beginnings that are features beside the word itself.
+BEGINNINGS = (4, 5, 6)
+
+
 def _features(word: str) -> tuple[str, ...]:
-    return (f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) > n))
+    return (f"={word}", *(word[:n] for n in BEGINNINGS if len(word) > n))
 
 
 @dataclass
 class Scorer:
     """A logistic model over presence of restored words and word beginnings."""
 
-    language: np.ndarray
+    language: CharacterModel
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
@@ -214,18 +291,31 @@ class Scorer:
         return out
 
 
-def _fit(rows: list[tuple[list[int], int]], n: int, l2: float = 1.0, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty, by Newton steps; at most MAX_ROWS by MAX_FEATURES numbers."""
-    x, y = np.zeros((len(rows), n + 1)), np.array([r[1] for r in rows], float)
-    x[:, n] = 1
-    for k, (active, _) in enumerate(rows):
-        x[k, active] = 1
+def _fit(rows: list[list[int]], y: np.ndarray, n: int, l2: float = 1.0, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty, by Newton steps whose equations are solved by conjugate gradients.
+
+    Only the features that are present are held: memory goes with them, not with rows times features.
+    """
+    at = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    of = np.array([f for r in rows for f in (*r, n)], np.int64)
+    times = lambda v: np.bincount(at, v[of], len(rows))
+    back = lambda v: np.bincount(of, v[at], n + 1)
     w, penalty = np.zeros(n + 1), np.append(np.full(n, l2), 1e-3)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        curve = p * (1 - p)
+        curved = lambda v, c=curve: back(c * times(v)) + penalty * v
+        step, r = np.zeros(n + 1), back(y - p) - penalty * w
+        goal, d = 1e-20 * (r @ r), r.copy()
+        for _ in range(4 * (n + 1)):
+            size = r @ r
+            if size <= goal:
+                break
+            image = curved(d)
+            a = size / (d @ image)
+            step, r = step + a * d, r - a * image
+            d = r + (r @ r) / size * d
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w[:n], float(w[n])
@@ -233,42 +323,35 @@ def _fit(rows: list[tuple[list[int], int]], n: int, l2: float = 1.0, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, max_rows: int = MAX_ROWS) -> Scorer:
     """Count the character model over all of ``docs``; fit the scorer on up to ``max_rows`` labelled rows that aren't held out."""
-    language = language_model(count_characters(docs))
+    language = CharacterModel(count_characters(docs))
     sample = labelled_sample(docs, labels, "toxic", max_rows, ~held_out("doc_id", modulus, remainder))
+    shared = docs.sparkSession.sparkContext.broadcast(language)
 
-    def counted(only_toxic: bool, vocabulary: dict | None = None):
-        def run(batches):
-            restorer, tally = Restorer(language), (Counter(), Counter())
-            for b in batches:
-                for t, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                    if y or not only_toxic:
-                        found = {f for w in restorer.words(t.decode("utf-8", "replace")) for f in _features(w)}
-                        tally[y > 0].update(found if vocabulary is None else found & vocabulary.keys())
-            names = list(tally[0] | tally[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([t[k] for k in names], pa.int64()) for t in tally)], names=["f", "clean", "toxic"])
-
-        return map_rows(sample, run, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    def restored(batches):
+        restorer = Restorer(shared.value)
+        for b in batches:
+            found = [sorted(restorer.words(t.decode("utf-8", "replace"))) for t in texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
 
-    totals = {r.y > 0: r["count"] for r in sample.groupBy("y").count().collect()}
+    seen = durable(map_rows(sample, restored, "y int, words array<string>"))
+    totals = {r.y > 0: r["count"] for r in seen.groupBy("y").count().collect()}
     if not totals.get(True):
+        discard(sample, seen)
         return Scorer(language)
-    first = counted(True).where(F.col("toxic") >= MIN_DOCUMENTS).orderBy(F.desc("toxic"), "f").limit(MAX_CANDIDATES).collect()
-    candidates = {r.f: k for k, r in enumerate(first)}
-    ranked = []
-    for r in counted(False, candidates).collect():
-        p, q = (r.toxic + 0.5) / (totals[True] + 1), (r.clean + 0.5) / (totals.get(False, 0) + 1)
-        if p > 2 * q:
-            ranked.append((-r.toxic * math.log(p / q), r.f))
-    chosen = {f: k for k, (_, f) in enumerate(sorted(ranked)[:MAX_FEATURES])}
+    features = F.array_distinct(F.flatten(F.transform("words", lambda w: F.filter(F.array(F.concat(F.lit("="), w), *(F.when(F.length(w) > n, F.substr(w, F.lit(1), F.lit(n))) for n in BEGINNINGS)), lambda f: f.isNotNull()))))
+    counted = seen.select("y", F.explode(features).alias("f")).groupBy("f").agg(F.sum((F.col("y") > 0).cast("int")).alias("toxic"), F.sum((F.col("y") <= 0).cast("int")).alias("clean"))
+    p, q = (F.col("toxic") + 0.5) / (totals[True] + 1), (F.col("clean") + 0.5) / (totals.get(False, 0) + 1)
+    telling = counted.where((F.col("toxic") >= MIN_DOCUMENTS) & (p > 2 * q) & (2 * F.col("toxic") * F.log(p / q) >= LEAST_G))
+    chosen = {f: k for k, f in enumerate(sorted(r.f for r in telling.select("f").collect()))}
 
     def rows(batches):
-        restorer = Restorer(language)
         for b in batches:
-            found = [sorted({chosen[f] for w in restorer.words(t.decode("utf-8", "replace")) for f in _features(w) if f in chosen}) for t in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], names=["x", "y"])
+            found = [sorted({chosen[f] for w in words for f in _features(w) if f in chosen}) for words in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(0)], names=["x", "y"])
 
-    active = [(r.x, int(r.y > 0)) for r in map_rows(sample, rows, "x array<int>, y int").collect()]
-    weights, bias = _fit(active, len(chosen))
+    active = sorted((r.x, int(r.y > 0)) for r in map_rows(seen, rows, "x array<int>, y int").collect())
+    discard(sample, seen)
+    weights, bias = _fit([x for x, _ in active], np.array([y for _, y in active], float), len(chosen))
     return Scorer(language, {f: float(weights[k]) for f, k in chosen.items()}, bias)
 
 
@@ -287,8 +370,6 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(texts(b.column(at)), restorer, memo), pa.float64())], names=[*b.schema.names, column])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     schema = StructType([*docs.schema.fields]).add(column, DoubleType())
     return map_rows(docs, run, schema)
 

@@ -1,13 +1,17 @@
 """Learned operators, rules, chat formats and licences."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from terracell.llm import chat_format, license_scan, quality_model, quality_rules, statistics, toxicity
 
@@ -98,6 +102,78 @@ def test_toxicity_decodes_long_spans_and_addresses(spark, tables, monkeypatch):
     assert toxicity.decode(span, scorer.language) == whole
 
 
+def small_model(seed=1):
+    rng = np.random.default_rng(seed)
+    return toxicity.CharacterModel(rng.integers(0, 40, 1 << toxicity.CELL_BITS).astype(np.float32))
+
+
+def plain_search(places, model):
+    """Every path through a lattice."""
+    best = None
+    for path in itertools.product(*places):
+        cost, text = sum(price for _, price in path), ""
+        for out, _ in path:
+            if out == " " and (not text or text.endswith(" ")):
+                continue
+            text += out
+        padded = f" {text} " if text and not text.endswith(" ") else f" {text}"
+        for k in range(1, len(padded)):
+            word = padded[: k + 1][padded.rindex(" ", 0, k) :]
+            cost += model.cost(word[-toxicity.ORDER :])
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, text.strip())
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abo0011@$ .-!iiéαо4"), min_size=1, max_size=7), st.integers(0, 3))
+def test_viterbi_search_is_exact(span, seed):
+    model = small_model(seed)
+    places = toxicity.lattice(span)
+    want = plain_search(places, model)
+    assert toxicity.search(places, model)[0] == pytest.approx(want[0], abs=1e-6)
+
+
+def test_a_disguise_inside_a_long_token_reads_alike(spark, tables):
+    scorer = toxicity.train(*tables)
+    restorer = toxicity.Restorer(scorer.language)
+    for n in (3, 60, 400):
+        for bad in ("1d10t", "iidioott", "m0r0n"):
+            token = "/".join(["the", "inre"] * n + [bad] + ["onan"] * n)
+            assert set(restorer.words(bad)) & {"idiot", "moron"} <= set(restorer.words(token))
+            assert scorer.of([token.encode()], restorer, {})[0] > 0.5
+
+
+def test_the_character_model_reads_every_script(spark):
+    docs = spark.createDataFrame([(1, "молоко хорошо слово " * 40), (2, "漢字 語彙"), (3, "the moron here " * 40)], DOCS)
+    model = toxicity.CharacterModel(toxicity.count_characters(docs))
+    assert toxicity.decode("м0л0ко", model) == "молоко" and toxicity.decode("m0r0n", model) == "moron"
+    assert model.cost(" сл") < model.cost(" зз") and model.cost(" 漢字") < model.cost(" 漢彙")
+    few = toxicity.count_characters(docs.where("doc_id = 2"))
+    assert 0 < (few > 0).sum() < (model.counts > 0).sum() <= 1 << toxicity.CELL_BITS
+    want = Counter(g[k : k + 3] for w in "молоко хорошо слово".split() for g in [f" {w} "] for k in range(len(g) - 2))
+    assert model.counts[toxicity._cell("око")] == 40 * want["око"] and model.counts[toxicity._cell("ова")] == 0
+
+
+def test_toxicity_keeps_other_columns(spark, tables):
+    docs, labels = tables
+    given_ = docs.limit(20).withColumns({"score": F.lit("x"), "held_out": F.lit(3), "predicted": F.lit(None).cast("string")})
+    assert toxicity.toxicity(given_, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+    out = quality_model.score(given_, quality_model.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "held_out", "predicted", "score"] and out.count() == 20
+    assert quality_rules.quality_rules(docs.limit(20).withColumns({"n_words": F.lit("x"), "kept": F.lit(1)}), labels).count() == 20
+
+
+def test_logistic_fit_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    rows = [sorted({int(f) for f in rng.integers(0, 12, 3)}) for _ in range(300)]
+    y = np.array([float((0 in r) ^ (rng.random() < 0.1)) for r in rows])
+    w, b = toxicity._fit(rows, y, 12)
+    p = 1 / (1 + np.exp(-np.array([b + sum(w[f] for f in r) for r in rows])))
+    gradient = [sum((p[k] - y[k]) for k, r in enumerate(rows) if f in r) + w[f] for f in range(12)]
+    assert np.abs(gradient).max() < 1e-4 and abs((p - y).sum() + 1e-3 * b) < 1e-4
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], DOCS)
     none = spark.createDataFrame([], LABELS)
@@ -145,6 +221,34 @@ def test_quality_rules(spark, tables):
     assert quality_rules.quality_rules(spark.createDataFrame([], DOCS), none).collect() == []
 
 
+def test_scores_are_sums_of_tables(spark, tables):
+    docs, labels = tables
+    model = quality_model.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    texts.update(labelled()[0])
+    for r in quality_model.score(docs.where("doc_id < 60"), model).collect():
+        x = statistics.measure((r.text or "").encode())
+        z = model.bias + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(x, model.edges, model.tables, strict=True))
+        z += sum(t[sum(e <= x[a] for e in model.coarse[a])][sum(e <= x[b] for e in model.coarse[b])] for a, b, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_learned_rules_are_applied_as_they_read(spark, tables):
+    docs, labels = tables
+    rules = quality_rules.train(docs, labels)
+    assert rules
+    names = (*statistics.BASE, *statistics.RATIOS)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = []
+    for k, t in texts:
+        x = dict(zip(names, statistics.measure((t or "").encode()), strict=True))
+        base = x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"]
+        bad = any(all(x[n] <= v if sign == "<=" else x[n] > v for n, sign, v in rule) for rule in rules)
+        want.append((k, not base and not bad))
+    got = [(r.doc_id, r.kept) for r in quality_rules.quality_rules(docs, labels).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_rules_are_one_ordered_conditional():
     text = str(quality_rules.expression([[("n_words", "<=", 3.0)], [("bar_share", ">", 0.1), ("n_words", ">", 9.0)]]))
     assert text.count("WHEN") == 2 and text.index("n_words") < text.index("bar_share")
@@ -193,18 +297,62 @@ def plain_base_licenses(text):
     return len(words), found
 
 
+def plain_labels(text, idf):
+    """Every template tried at every start."""
+    words, found = license_scan.words_of((text or "").encode()), {}
+    for label, template, keys in license_scan._TEMPLATES:
+        total = math.fsum(idf[w] for w in template)
+        for start in range(-len(template) + 1, len(words)):
+            here = words[max(0, start - 2) : max(0, start + len(template) + 2)]
+            got = math.fsum(idf[w] for j, w in enumerate(template) if 0 <= start + j < len(words) and words[start + j] == w) / total
+            if got >= license_scan.LEAST_SCORE and all(b" " + b" ".join(k) + b" " in b" " + b" ".join(here) + b" " for k in keys):
+                found[label] = max(found.get(label, 0.0), min(1.0, got))
+    return found
+
+
+def disturbed(rng, words):
+    """Words of a licence, some changed, dropped or doubled."""
+    out = []
+    for w in words:
+        p = rng.random()
+        out += [rng.choice(["else", "the", "license"])] if p < 0.08 else [] if p < 0.1 else [w, w] if p < 0.12 else [w]
+    return out
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     pool = "under the mit license apache version 2 0 cc by nc word é other the of".split()
     texts = [None, "", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License. Released UNDER the MIT license!", "Licensed under CC BY-NC 4.0.", "general public matters, licence of the house"]
-    texts += [" ".join(rng.choice(pool) for _ in range(rng.randrange(80))) for _ in range(200)]
-    out = {r.doc_id: r for r in license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randrange(80))) for _ in range(120)]
+    templates = [t.split() for _, t, _ in license_scan.TEMPLATES]
+    for _ in range(160):
+        parts = [disturbed(rng, rng.choice(templates)) if rng.random() < 0.6 else [rng.choice(pool) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(1, 4))]
+        cut = [w for p in parts for w in p]
+        texts.append(" ".join(cut[rng.randrange(3) :]))
+    texts += ["word " * 40_000 + "Released under the MIT license " + "of " * 9_000, texts[3], texts[3]]
+    docs = spark.createDataFrame([(k, t, "x", 7) for k, t in enumerate(texts)] + [(None, texts[3], "x", 7)], DOCS + ", labels string, n_words int")
+    idf = license_scan.document_frequencies(docs)
+    rows = license_scan.licenses(docs).collect()
+    out = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 1 and out[None][1:] == out[3][1:] == out[len(texts) - 1][1:]
+    several = 0
     for k, t in enumerate(texts):
         n, found = plain_base_licenses(t)
-        at = [p for p, _ in found]
+        at, base = [p for p, _ in found], {label for _, label in found}
+        labels = plain_labels(t, idf) if n < 1000 else {"mit": 1.0}
+        several += len(labels) > 1
         r = out[k]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(found), min(at, default=None), max(at, default=None))
-        assert r.base_labels == ",".join(sorted({label for _, label in found}))
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        assert r.base_labels == ",".join(sorted(base))
+        assert r.labels == ",".join(sorted(base | labels.keys()))
+        assert r.score == (1.0 if base else max(labels.values(), default=0.0))
+    assert several > 10
     assert out[3].labels == "gpl-3" and out[6].labels == "" and out[6].score == 0
     assert license_scan.licenses(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_the_index_holds_rare_words_only():
+    idf = {w: 1.0 + len(w) for w in license_scan.VOCABULARY}
+    index = license_scan.build_index(idf)
+    places = sum(map(len, index.postings.values()))
+    assert places < 0.8 * sum(len(t) for _, t, _ in license_scan._TEMPLATES) and b"of" not in index.postings
