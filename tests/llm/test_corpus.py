@@ -69,33 +69,76 @@ def test_temperature():
     assert mixing.temperature({"a": 5}).alpha == 1 and mixing.temperature({}).weights == {}
 
 
-def test_mixing_meets_quotas_exactly(spark):
+def plain_alpha(tokens, budget, target_entropy, max_repeats):
+    """By a fine scan and halving, without the library."""
+    live = np.array([n for n in tokens.values() if n > 0], float)
+    if len(live) < 2:
+        return 1.0
+
+    def weights(a):
+        w = (live / live.sum()) ** a
+        return w / w.sum()
+
+    def fits(a):
+        w = weights(a)
+        return -(w * np.log(w)).sum() <= target_entropy * math.log(len(live)) + 1e-12 and (w * budget / live).max() <= max_repeats + 1e-12
+
+    natural = weights(1.0)
+    if -(natural * np.log(natural)).sum() >= target_entropy * math.log(len(live)):
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
+
+
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_mixing_meets_quotas_exactly(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", few)
     rng = random.Random(2)
     rows = [(k, " ".join(["w"] * rng.randrange(1, 40)), None, "big" if k % 3 else rng.choice(["a", "b", None]), 1) for k in range(3000)]
-    rows += [(9000, None, None, "empty", 0), (9001, "", None, "a", 0), (5, rows[5][1], None, rows[5][3], 1)]
+    rows += [(9000, None, None, "empty", 0), (9001, "", None, "a", 0)]
+    rows += [(5, rows[5][1], None, "a", 1)] * 400 + [(None, "w w w", None, "b", 1)] * 300  # repeated and null ids
     df = spark.createDataFrame(rows, DOCS).withColumn("epoch", F.lit("clash"))
     out = mixing.mix(df, target_entropy=0.98, max_repeats=2.5).withColumn("n", mixing.word_count(F.col("text"))).toPandas()
     tokens: dict = {}
     longest: dict = {}
     for _, text, _, s, _ in rows:
-        key, n = "null" if s is None else f"={s}", len((text or "").split())
-        tokens[key], longest[key] = tokens.get(key, 0) + n, max(longest.get(key, 0), n)
-    m = mixing.temperature(tokens, None, 0.98, 2.5)
-    assert m.alpha < 1
-    for key, n in tokens.items():
-        own = out[out.source.isna()] if key == "null" else out[out.source == key[1:]]
-        quota = m.weights[key] * m.budget
+        n = len((text or "").split())
+        tokens[s], longest[s] = tokens.get(s, 0) + n, max(longest.get(s, 0), n)
+    budget = sum(tokens.values())
+    alpha = plain_alpha(tokens, budget, 0.98, 2.5)
+    raised = {s: (n / budget) ** alpha if n else 0.0 for s, n in tokens.items()}
+    assert alpha < 1
+    for s, n in tokens.items():
+        own = out[out.source.isna()] if s is None else out[out.source == s]
+        quota = raised[s] / sum(raised.values()) * budget
         if n:
-            assert quota - longest[key] - 1 < own.n.sum() <= quota + 1e-6
-            uses = own[own.doc_id != 5].groupby("doc_id").size()
-            assert uses.max() - (0 if len(uses) < own[own.doc_id != 5].doc_id.nunique() else uses.min()) <= 1
+            assert quota - longest[s] - 1 < own.n.sum() <= quota + 1e-3
+            assert own.repeats.iloc[0] == pytest.approx(quota / n)
+            rows_of = sum(r[3] == s for r in rows)
+            whole = int(quota // n)
+            for e in range(whole):
+                assert (own.epoch == e).sum() == rows_of
+            assert own.epoch.max() <= whole
     assert (out.source == "empty").sum() == 1
     assert out.mix_key.between(0, 1, inclusive="left").all()
-    early = out[out.mix_key < 0.5].n.sum() / out.n.sum()
-    assert 0.45 < early < 0.55
+    for s in ("big", "a", "b"):
+        own = out[out.source == s]
+        assert 0.4 < own[own.mix_key < 0.5].n.sum() / own.n.sum() < 0.6
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_blocks_are_permuted(spark):
+    n = 1 << mixing.BLOCK_BITS
+    blocks = spark.range(n).crossJoin(spark.range(5).select(F.xxhash64("id").alias("key")))
+    rows = blocks.select("id", "key", mixing._permuted(F.col("id"), F.col("key")).alias("to")).toPandas()
+    orders = [tuple(own.sort_values("id").to) for _, own in rows.groupby("key")]
+    assert all(sorted(o) == list(range(n)) for o in orders) and len(set(orders)) == 5
+    assert all(abs(np.corrcoef(range(n), o)[0, 1]) < 0.2 for o in orders)
+
+
 def plain_best_fit(lengths, size):
     gaps = []
     for n in sorted(lengths, reverse=True):
