@@ -91,7 +91,9 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     A formatted conversation is its turns' ``formatted`` in order, joined by
     nothing. loss_start and loss_end bound the trained text in code points from
     the turn's beginning; they are null for other roles than the assistant. Null
-    texts and null roles count as empty.
+    texts and null roles count as empty. Rows that repeat a turn are turns of their
+    own. Rows without a conv_id are one conversation without an id; a null turn
+    comes first. Other columns are ignored, whatever their names.
     """
     source = conversations.select("conv_id", "turn", "role", "text")
     schema = StructType([source.schema["conv_id"], source.schema["turn"], source.schema["role"]]).add("formatted", StringType()).add("loss_start", LongType()).add("loss_end", LongType()).add("escaped", IntegerType())

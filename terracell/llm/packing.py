@@ -189,8 +189,8 @@ def place(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
 def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), a row a piece.
 
-    Rows that repeat an id are packed as documents of their own. An empty table
-    gives no sequences.
+    Rows that repeat an id, or have none, are packed as documents of their own. An
+    empty table gives no sequences. Other columns are ignored.
     """
     cut = pieces(docs, size, vocabulary, ranks, with_ids).withColumn("uid", F.monotonically_increasing_id())
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

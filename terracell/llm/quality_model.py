@@ -177,7 +177,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of ``docs``.
 
     Null and empty texts are scored as empty ones. A null id is held out. Without
-    labels every score is one half. Repeated rows score alike.
+    labels every score is one half. Repeated rows score alike. Texts are measured
+    whole. Other columns are ignored.
     """
     found = score(docs.select("doc_id", "text"), train(docs, labels))
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -136,8 +136,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, BASE, base_failed, kept, rules), one row for each row of ``docs``.
 
     A null or empty text has no words and fails the base rules. Without labels
-    there are no learned rules and the base rules decide alone. Repeated rows
-    each return a row.
+    there are no learned rules and the base rules decide alone. Repeated rows and
+    rows without an id each return a row. Texts are measured whole. Other columns
+    are ignored.
     """
     rules = train(docs, labels)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -42,21 +42,25 @@ def lookup_table(names: list[str], slots: int = SLOTS) -> np.ndarray:
 
 
 def assign_shards(rows: DataFrame, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``; rows of equal keys, null included, share a shard.
+    """``rows`` with ``slot`` and ``shard``; rows of equal keys share a shard, so do all without a key.
 
-    Columns of those names already there are replaced. No row moves: placement
-    is one hash and one broadcast lookup.
+    Columns of those names already there are replaced, after the key is read. An
+    empty key is a key like any other. No row moves: placement is one hash and one
+    broadcast lookup.
     """
     names = names or [f"shard-{k:05d}" for k in range(SHARDS)]
     owner = lookup_table(names, slots)
-    spark = rows.sparkSession
+    spark, own = rows.sparkSession, [c for c in rows.columns if c not in ("slot", "shard")]
     # `slots` rows of two numbers, whatever the data's size.
     table = spark.createDataFrame([(s, names[k]) for s, k in enumerate(owner.tolist())], "slot int, shard string")
-    placed = rows.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    return placed.join(F.broadcast(table), "slot").select(*[c for c in rows.columns if c not in ("slot", "shard")], "slot", "shard")
+    placed = rows.select(*own, F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int").alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(*own, "slot", "shard")
 
 
 def write_shards(rows: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS, files_a_shard: int = 4) -> None:
-    """Write ``path``/shard=.../ as Parquet; a shard's rows are salted over ``files_a_shard`` tasks."""
+    """Write ``path``/shard=.../ as Parquet; a shard's rows, also those of one key, are salted over ``files_a_shard`` tasks."""
     placed = assign_shards(rows, key, names, slots)
-    placed.withColumn("_salt", F.pmod(F.xxhash64("slot"), F.lit(files_a_shard))).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    hashed = [c for c in placed.columns if "map<" not in placed.schema[c].dataType.simpleString()]
+    # By content and by the partition it comes from: a lost task deals its rows out alike again.
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.lit(files_a_shard))
+    placed.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)

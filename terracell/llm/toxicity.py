@@ -379,6 +379,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts are scored as empty ones. A null id is held out. Without
     toxic labels to learn from every score is near 0. Repeated rows score alike.
+    Texts are read whole; tokens and spaced-out spans are decoded whole, however
+    long. Other columns are ignored.
     """
     found = score(docs.select("doc_id", "text"), train(docs, labels))
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

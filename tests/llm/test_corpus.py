@@ -60,6 +60,32 @@ def test_assign_shards(spark, tmp_path):
     assert sharding.assign_shards(df.limit(0)).count() == 0
 
 
+def test_rows_are_placed_by_the_hash_of_their_key(spark, tmp_path):
+    import struct
+
+    import xxhash
+
+    names = [f"shard-{k:05d}" for k in range(256)]
+    owner = plain_table(names, 65_537)
+    rows = spark.range(0, 4000, 7).toDF("slot").withColumn("v", F.lit("x"))
+    got = sharding.assign_shards(rows.withColumn("k", F.col("slot")), "slot")
+    assert got.columns == ["v", "k", "slot", "shard"]
+    for r in got.collect():
+        h = xxhash.xxh64_intdigest(struct.pack("<q", r.k), 42)
+        slot = (h - (1 << 64) if h >> 63 else h) % 65_537
+        assert (r.slot, r.shard) == (slot, names[owner[slot]])
+    hot = spark.range(4000).select(F.lit("").alias("doc_id"), F.col("id").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        sharding.write_shards(hot, str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 4000 and max(r["count"] for r in files) < 3000
+
+
 def test_temperature():
     tokens = {"big": 900_000, "b": 50_000, "c": 30_000, "d": 20_000, "none": 0}
     m = mixing.temperature(tokens, target_entropy=0.8, max_repeats=1000)
@@ -206,6 +232,13 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_without_ids_and_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(None, "a b", 1, "x"), (None, "a b", 2, "y"), (3, "word " * 9000, 3, "z")], "doc_id long, text string, length int, uid string")
+    out = packing.pack(rows).toPandas()
+    assert out.doc_id.isna().sum() == 2 and list(out.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert out[out.doc_id == 3].length.sum() == 9002 and out.sequence_id.nunique() == 5
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
@@ -239,3 +272,94 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert ids[3] <= ids[2] and ids[4] == ids[3]
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(out.doc_id) == sorted(r.doc_id for r in kept[-1][1].collect())
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """The models' verdicts text by text, then near-dedup, mixing and packing by plain Python."""
+    import corpus_pipeline
+    from terracell.llm import quality_model, toxicity
+
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("the an or in re st on".split()) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    docs, labels = [], []
+    for k in range(420):
+        words = [rng.choice(pool) for _ in range(rng.randrange(20, 90))]
+        toxic, low = k % 6 == 1, k % 6 == 2
+        if toxic:
+            words[3] = rng.choice(["idiot", "m0ron"])
+        docs.append((k, " | ".join(words) if low else " ".join(words), "en", f"s{k % 5 and k % 3}", 0))
+        labels.append((k, int(not low), int(toxic)))
+        if k % 9 == 0:  # copies and near copies, the ids of some repeated or null
+            near = words[:]
+            near[5] = "other"
+            docs += [(1000 + k, " ".join(words).upper(), None, "s1", None), (k, " ".join(near), "en", None, 0), (None, " ".join(words), "en", "s0", 0)]
+    docs += [(5000, None, None, None, None), (5001, "", "en", "s0", 0), (5002, " ".join(rng.choice(pool) for _ in range(5000)), "en", "s2", 0), (None, "a text without id " + " ".join(rng.choice(pool) for _ in range(40)), "en", "s2", 0)]
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table, known = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))
+
+    scorer = toxicity.train(table, known)
+    scores = scorer.of([(d[1] or "").encode() for d in docs], toxicity.Restorer(scorer.language), {})
+    left = [d for d, s in zip(docs, scores, strict=True) if s < 0.5]
+    model = quality_model.train(spark.createDataFrame(left, DOCS), known)
+    good = model.score(quality_model._measured([(d[1] or "").encode() for d in left])) >= 0.5
+    left = [d for d, g in zip(left, good, strict=True) if g]
+    sets = [plain_shingles(d[1]) for d in left]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    members: dict = {}
+    for d, g in zip(left, group, strict=True):
+        members.setdefault(g, []).append(d)
+    least = {g: min((d[0] for d in own if d[0] is not None), default=None) for g, own in members.items()}
+    assert len(members) < len(left)
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    uses = out[out.piece == 0].doc_id.astype(object).where(out[out.piece == 0].doc_id.notna(), None)
+    assert {None if u is None else int(u) for u in uses} <= set(least.values())
+    stages = table
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        stages = stage(spark, stages, str(tmp_path))
+    kept = stages.collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted(least.values(), key=str)
+    assert {r.text for r in kept} <= {d[1] for d in left}
+    tokens: dict = {}
+    for r in kept:
+        tokens[r.source] = tokens.get(r.source, 0) + len((r.text or "").split())
+    budget = sum(tokens.values())
+    alpha = plain_alpha(tokens, budget, mixing.ENTROPY, mixing.REPEATS)
+    raised = {s: (n / budget) ** alpha for s, n in tokens.items() if n}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {}
+    for r in kept:
+        ids.setdefault(zlib.crc32(np.array(([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0])[:2048], "<u4").tobytes()), []).append(r)
+    mixed = {s: 0 for s in raised}
+    for r in out[(out.piece == 0) & (out.length < 2048)].itertuples():
+        (own,) = ids[r.ids_crc32]
+        if own.source in mixed:
+            mixed[own.source] += len((own.text or "").split())
+    for s in raised:
+        longest = max(len((r.text or "").split()) for r in kept if r.source == s)
+        quota = raised[s] / sum(raised.values()) * budget
+        if longest < 2000:
+            assert quota - longest - 1 < mixed[s] <= quota + 1e-6
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert list(own.offset) == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 2048
+    assert out.sequence_id.nunique() == plain_best_fit(list(out.length), 2048)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS + ", score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

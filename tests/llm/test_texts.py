@@ -285,6 +285,16 @@ def test_chat_digests(spark):
     assert chat_format.digests(chat_format.format_turns(df.limit(0))).collect() == []
 
 
+def test_chat_digests_of_repeated_turns_null_ids_and_clashing_columns(spark):
+    rows = [(None, 1, "user", "b", 1), (None, 0, "user", "a", 2), (7, 3, "assistant", "same", 3), (7, 3, "assistant", "same", 4), (7, 3, "assistant", "also </s>", 5), (8, None, "user", "x", 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int").withColumn("n_turns", F.lit("x"))
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.format_turns(df)).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {None: 2, 7: 3, 8: 1}
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\na\nuser\nb\n").hexdigest()
+    assert got[7].loss_sha256 == hashlib.sha256(b"samesamealso </s>").hexdigest() or got[7].loss_sha256 == hashlib.sha256(b"also </s>samesame").hexdigest()
+    assert got[7].loss_chars == 17
+
+
 LWORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
