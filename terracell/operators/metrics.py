@@ -13,16 +13,65 @@ from terracell.plans.neighbours import nearest_k
 PERCENTILES = (5, 25, 50, 75, 95)
 
 
+#: Bins of a pass that narrows a percentile down, and values that are gathered in the end.
+BINS, GATHERED = 2048, 20_000
+
+
+def exact_percentiles(df: DataFrame, column: str, shares: list[float], gathered: int = GATHERED) -> list[float | None]:
+    """Percentiles as linear interpolation between order statistics, without gathering or sorting the column.
+
+    Every pass counts values in BINS bins of each interval that still holds a wanted
+    order statistic; the bin that holds it is the next interval, until that has few
+    values or only one. Nulls don't count.
+    """
+    v = F.col(column).cast("double")
+    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return [None] * len(shares)
+    wanted = sorted({k for s in shares for k in (int(s * (n - 1)), min(n - 1, int(s * (n - 1)) + 1))})
+    found: dict[int, float] = {}
+    spans = [(low, high, 0, n, wanted)]  # least and greatest value, values before, values within, ranks sought
+    while spans:
+        small = [s for s in spans if s[0] == s[1] or s[3] <= gathered]
+        spans = [s for s in spans if s not in small]
+        for lo, hi, before, _, ranks in small:
+            values = [lo] * (max(ranks) - before + 1) if lo == hi else [r[0] for r in df.where((v >= lo) & (v <= hi)).select(v).orderBy(v).limit(max(ranks) - before + 1).collect()]
+            found.update({k: values[k - before] for k in ranks})
+        if not spans:
+            break
+        of, bin_ = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (lo, hi, *_) in enumerate(spans):
+            inside = (v >= lo) & (v <= hi)
+            place = F.least(F.lit(BINS - 1), F.floor((v / 2 - F.lit(lo / 2)) / F.lit((hi / 2 - lo / 2) / BINS)).cast("int"))
+            of, bin_ = F.when(inside, F.lit(k)).otherwise(of), F.when(inside, place).otherwise(bin_)
+        rows = df.select(of.alias("k"), bin_.alias("b"), v.alias("v")).where("k is not null").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = sorted(rows.collect(), key=lambda r: (r.k, r.lo))  # BINS rows an interval at most
+        new = []
+        for k, (_, _, before, _, ranks) in enumerate(spans):
+            for r in (r for r in counted if r.k == k):
+                here = [x for x in ranks if before <= x < before + r.n]
+                if here:
+                    new.append((r.lo, r.hi, before, r.n, here))
+                before += r.n
+        spans = new
+    out = []
+    for s in shares:
+        k = int(s * (n - 1))
+        a, b = found[k], found[min(n - 1, k + 1)]
+        out.append(a + (b - a) * (s * (n - 1) - k))
+    return out
+
+
 def cloud_statistics(cloud: PointFrame, exact: bool = True) -> DataFrame:
     """One row: count, bounds, centroid, z statistics and percentiles, intensity statistics (null if absent).
 
-    Exact percentiles gather counts of distinct values; ``exact=False`` takes the
-    mergeable sketch instead, for clouds whose z values don't repeat.
+    Exact percentiles take a few passes of histograms; ``exact=False`` takes the
+    mergeable sketch instead.
     """
     cloud.nonempty()
     z = "z"
-    shares = F.array(*(F.lit(p / 100) for p in PERCENTILES))
-    pct = F.percentile(z, shares) if exact else F.percentile_approx(z, [p / 100 for p in PERCENTILES], 10_000)
+    shares = [p / 100 for p in PERCENTILES]
+    pct = F.array(*(F.lit(p) for p in exact_percentiles(cloud.df, z, shares))) if exact else F.percentile_approx(z, shares, 10_000)
     has = cloud.has("intensity")
     out = cloud.df.agg(
         F.count("*").alias("n_points"),

@@ -171,7 +171,9 @@ def sinkholes(raster: Raster, depth: float = 0.5, window: int = 5) -> DataFrame:
 
 def flood_mask(raster: Raster, percentile: float = 10.0) -> DataFrame:
     """(row, col, value, flooded): cells at or under a percentile of all."""
-    level = raster.df.agg(F.percentile("value", F.lit(percentile / 100))).first()[0]
+    from terracell.operators.metrics import exact_percentiles
+
+    level = exact_percentiles(raster.df, "value", [percentile / 100])[0]
     return raster.df.withColumn("flooded", F.col("value") <= F.lit(level))
 
 
