@@ -15,6 +15,7 @@ from terracell.operators.cluster import cluster_dbscan
 from terracell.operators.raster import idw_interpolate
 from terracell.operators.shape import knn_features
 from terracell.plans.durable import durable
+from terracell.plans.neighbours import nearest_within
 
 WIRE_EPS, WIRE_MIN, PYLON_EPS, PYLON_MIN, VERTICALITY = 3.0, 5, 5.0, 3, 0.6
 
@@ -139,9 +140,8 @@ def detect_powerlines(
     kept = durable(wires.join(stats.select("label"), "label").withColumnRenamed("label", "segment_id"))
     if strict and towers.count() >= 2:
         ends = _ends(kept)
-        near = [F.col(f"{e}.x").alias(f"{e}x") for e in "ab"] + [F.col(f"{e}.y").alias(f"{e}y") for e in "ab"]
-        e = ends.select("segment_id", *near)
-        by = {k: e.join(towers, ((F.col("x") - F.col(f"{k}x")) ** 2 + (F.col("y") - F.col(f"{k}y")) ** 2) <= pylon_association_radius**2).select("segment_id").distinct() for k in "ab"}
+        posts = towers.select(F.col("pylon_id").cast("long").alias("pid"), "x", "y")
+        by = {k: nearest_within(ends.select("segment_id", f"{k}.x", f"{k}.y").withColumn("pid", F.col("segment_id").cast("long")), posts, pylon_association_radius, "xy").select(F.col("a_pid").cast("int").alias("segment_id")) for k in "ab"}
         held = durable(by["a"].join(by["b"], "segment_id"))
         kept = durable(kept.join(held, "segment_id", "left_semi"))
         stats = stats.join(held.withColumnRenamed("segment_id", "label"), "label", "left_semi")

@@ -221,9 +221,19 @@ def fit_pairs(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return kabsch((s - sm).T @ (t - tm), sm, tm)
 
 
-def ransac_registration(source: PointFrame, target: PointFrame, source_features: DataFrame, target_features: DataFrame, max_correspondence_distance: float = 1.5, ransac_n: int = 3, max_iterations: int = 100_000, confidence: float = 0.999, seed: int = 0, max_pairs: int = 100_000) -> Registration:
-    """Coarse alignment from matched descriptors. Hypotheses are scored in batches on up to ``max_pairs`` matches and stop once ``confidence`` is reached."""
-    from terracell.operators.filters import exact_sample
+#: Hypotheses that one pass over all matches scores.
+BATCH = 500
+
+
+def ransac_registration(source: PointFrame, target: PointFrame, source_features: DataFrame, target_features: DataFrame, max_correspondence_distance: float = 1.5, ransac_n: int = 3, max_iterations: int = 100_000, confidence: float = 0.999, seed: int = 0) -> Registration:
+    """Coarse alignment from matched descriptors.
+
+    Hypotheses are drawn from all matches and scored on all of them, BATCH a pass,
+    until one that good would have been missed with a chance of ``1 - confidence`` at
+    most; the best is fitted again to all its inliers. It counts as converged if that
+    confidence was reached.
+    """
+    from terracell.operators.primitives import draw_hypotheses, score_hypotheses
 
     n = source.nonempty().n
     target.nonempty()
@@ -231,28 +241,36 @@ def ransac_registration(source: PointFrame, target: PointFrame, source_features:
         raise ValidationError("a hypothesis needs three pairs")
     matched = match_descriptors(source_features, target_features)
     pairs = matched.join(source.df.select("pid", *(F.col(c).alias(f"s{c}") for c in "xyz")), "pid").join(target.df.select(F.col("pid").alias("match"), *(F.col(c).alias(f"t{c}") for c in "xyz")), "match")
-    rows = exact_sample(durable(pairs.select("pid", *(f"{k}{c}" for k in "st" for c in "xyz"))), max_pairs, seed).orderBy("pid").toPandas()
-    s, t = rows[["sx", "sy", "sz"]].to_numpy(float), rows[["tx", "ty", "tz"]].to_numpy(float)
-    if len(s) < ransac_n:
+    columns = tuple(f"{k}{c}" for k in "st" for c in "xyz")
+    pairs = durable(pairs.select("pid", *columns))
+    total = pairs.count()
+    if total < ransac_n:
         raise RegistrationError("too few matched features")
-    rng, best, tried, reach2 = np.random.default_rng(seed), (-1, None), 0, max_correspondence_distance**2
-    while tried < max_iterations:
-        for _ in range(min(200, max_iterations - tried)):
-            tried += 1
-            pick = rng.choice(len(s), ransac_n, replace=False)
-            m = fit_pairs(s[pick], t[pick])
-            inside = int((((s @ m[:3, :3].T + m[:3, 3] - t) ** 2).sum(1) <= reach2).sum())
-            if inside > best[0]:
-                best = (inside, m)
-        ratio = best[0] / len(s)
-        if ratio >= 1 or ratio > 0 and tried >= math.log(1 - confidence) / math.log(max(1e-300, 1 - ratio**ransac_n)):
-            break
+    best, tried, sure, reach2 = (-1, np.eye(4)), 0, False, max_correspondence_distance**2
+    while tried < max_iterations and not sure:
+        drawn = draw_hypotheses(pairs, columns, ransac_n, min(BATCH, max_iterations - tried), seed + tried)
+        found = np.stack([fit_pairs(q[:, :3], q[:, 3:]) for q in drawn])
+        turn, shift = found[:, :3, :3], found[:, :3, 3]
+
+        def score(x: np.ndarray, turn=turn, shift=shift) -> np.ndarray:
+            off = np.einsum("hij,nj->nhi", turn, x[:, :3]) + shift - x[:, None, 3:]
+            return ((off * off).sum(2) <= reach2).sum(0)
+
+        inside = score_hypotheses(pairs, columns, len(drawn), score)
+        tried += len(drawn)
+        best = max(best, (int(inside.max()), found[int(inside.argmax())]), key=lambda x: x[0])
+        missed = 1 - (best[0] / total) ** ransac_n  # that one hypothesis has an outlier
+        sure = missed <= 0 or missed < 1 and tried * math.log(missed) <= math.log(1 - confidence)
     if best[0] < ransac_n:
         raise RegistrationError("no hypothesis has inliers")
-    on = ((s @ best[1][:3, :3].T + best[1][:3, 3] - t) ** 2).sum(1) <= reach2
-    m = fit_pairs(s[on], t[on])
+    m = best[1]
+    off = [sum((F.col(f"s{a}") * F.lit(float(m[i, j])) for j, a in enumerate("xyz")), F.lit(float(m[i, 3]))) - F.col(f"t{c}") for i, c in enumerate("xyz")]
+    on = pairs.where(sum((o * o for o in off[1:]), off[0] * off[0]) <= reach2)
+    sums = on.agg(*(F.avg(c).alias(c) for c in columns), *(F.covar_pop(f"s{a}", f"t{b}").alias(f"{a}{b}") for a in "xyz" for b in "xyz")).first()
+    h = np.array([[sums[f"{a}{b}"] for b in "xyz"] for a in "xyz"])
+    m = kabsch(h, np.array([sums[f"s{c}"] for c in "xyz"]), np.array([sums[f"t{c}"] for c in "xyz"]))
     k, d2 = _pairs(source.df, target.df, m, max_correspondence_distance, False).agg(F.count("*"), F.sum("d2")).first()
-    return Registration(m, k / n, math.sqrt(d2 / k) if k else 0.0, best[0] / len(s) >= 10 * (1 - confidence), tried)
+    return Registration(m, k / n, math.sqrt(d2 / k) if k else 0.0, bool(sure), tried)
 
 
 @dataclass(frozen=True)
