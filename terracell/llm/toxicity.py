@@ -58,7 +58,10 @@ _APART = re.compile(r"[\s._*\-][^\W_][\s._*\-]{1,3}[^\W_][\s._*\-]")
 _SPACED = re.compile(r"(?<![^\s._*\-])(?:[^\s._*\-][\s._*\-]{1,3}){2,}[^\s._*\-](?![^\s._*\-])")
 _GAP = re.compile(r"[\s._*\-]+")
 _JOINT = re.compile(r"[^\w@$!|+(&€£¡.*\-]+")
+#: Characters at a token's edges that are never part of a word, the commonest of them.
+_PUNCTUATION = ".,;:?"
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_HIDDEN = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 _STEP, _MIX, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
 
@@ -69,25 +72,21 @@ def _letters() -> np.ndarray:
 
 
 def _cell(gram: str) -> int:
-    h = len(gram)
+    h = 0
     for c in gram:
         h = (h * _STEP + ord(c)) & _WORD
     return ((h ^ h >> 32) * _MIX & _WORD) >> 64 - CELL_BITS
 
 
-def _cells(symbols: np.ndarray, order: int) -> np.ndarray:
-    """The cells of all n-grams of that order that don't run over a word's bound."""
-    n = len(symbols) - order + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    h, inside = np.full(n, order, np.uint64), np.ones(n, bool)
-    for k in range(order):
-        own = symbols[k : k + n]
-        h = h * np.uint64(_STEP) + own
-        if 0 < k < order - 1:
-            inside &= own != ord(BOUND)
-    h = h[inside]
-    return ((h ^ (h >> np.uint64(32))) * np.uint64(_MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(symbols: np.ndarray):
+    """For each order from 1 to ORDER the cells of all n-grams that don't run over a word's bound."""
+    h, inside = symbols, np.ones(len(symbols), bool)
+    for order in range(1, min(ORDER, len(symbols)) + 1):
+        if order > 1:
+            h = h[:-1] * np.uint64(_STEP) + symbols[order - 1 :]
+            inside = inside[:-1] & (symbols[order - 2 : -1] != ord(BOUND)) if order > 2 else inside[:-1]
+        own = h[inside]
+        yield ((own ^ (own >> np.uint64(32))) * np.uint64(_MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def count_characters(docs: DataFrame) -> np.ndarray:
@@ -104,8 +103,8 @@ def count_characters(docs: DataFrame) -> np.ndarray:
             symbols = np.where(_letters()[points], points, ord(BOUND)).astype(np.uint64)
             word = symbols != ord(BOUND)
             symbols = symbols[np.concatenate([[True], word[1:] | word[:-1]])]
-            for order in range(1, ORDER + 1):
-                np.add.at(total, _cells(symbols, order), 1)
+            for cells in _cells(symbols):
+                np.add.at(total, cells, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
@@ -127,7 +126,7 @@ class CharacterModel:
     def __init__(self, counts: np.ndarray):
         self.counts, self.known = counts, {}
         single = np.append(np.flatnonzero(_letters()), ord(BOUND)).astype(np.uint64)
-        self.total = float(counts[np.unique(_cells(single, 1))].sum(dtype=np.float64))
+        self.total = float(counts[np.unique(next(_cells(single)))].sum(dtype=np.float64))
 
     def share(self, gram: str) -> float:
         if len(gram) == 1:
@@ -183,7 +182,7 @@ def search(places: list[list[tuple[str, float]]], model: CharacterModel) -> tupl
 
     A state is the last ORDER - 1 characters of the word at hand, its beginning included: all that the model looks at.
     """
-    keep, cost_of = ORDER - 1, model.cost
+    keep, cost_of, known = ORDER - 1, model.cost, model.known
     states: dict[str, tuple[float, str]] = {BOUND: (0.0, "")}
     settled = ""
     for at, arcs in enumerate(places):
@@ -199,7 +198,8 @@ def search(places: list[list[tuple[str, float]]], model: CharacterModel) -> tupl
                         to, total, said = BOUND, cost + price + cost_of(state + BOUND), text + BOUND
                 else:
                     gram = state + out
-                    to, total, said = gram[-keep:], cost + price + cost_of(gram), text + out
+                    own = known.get(gram)
+                    to, total, said = gram[-keep:], cost + price + (cost_of(gram) if own is None else own), text + out
                 old = new.get(to)
                 if old is None or total < old[0] or (total == old[0] and said < old[1]):
                     new[to] = (total, said)
@@ -225,7 +225,9 @@ class Restorer:
 
     def token(self, raw: str) -> tuple[str, ...]:
         """Restored words of one token; its letters as they stand come too where they differ."""
-        core = _EDGES.sub("", _DECORATION.sub("", raw))
+        core = raw.strip(_PUNCTUATION)
+        if not (core.isalpha() and core.isascii()):
+            core = _EDGES.sub("", _DECORATION.sub("", raw))
         if core.isalpha() and core.isascii() and not _RUN.search(core):
             return (core,)
         parts = [p for p in re.split(r"[\W\d_]+", core) if p]
@@ -242,7 +244,7 @@ class Restorer:
         return tuple(dict.fromkeys([*found, *parts]))
 
     def words(self, text: str) -> set[str]:
-        text = text.translate(_INVISIBLE).lower()
+        text = (text.translate(_INVISIBLE) if _HIDDEN.search(text) else text).lower()
         found: set[str] = set()
         known = self.known
         for raw in set(text.split()):
@@ -258,6 +260,16 @@ class Restorer:
         return found
 
 
+#: The restorer of the model that this worker saw last: tokens stay known from task to task.
+_LAST: list = [None, None]
+
+
+def _restorer(model: CharacterModel) -> Restorer:
+    if _LAST[0] is not model:
+        _LAST[:] = [model, Restorer(model)]
+    return _LAST[1]
+
+
 #: Lengths of word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 
@@ -328,7 +340,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
     def restored(batches):
-        restorer = Restorer(shared.value)
+        restorer = _restorer(shared.value)
         for b in batches:
             found = [sorted(restorer.words(t.decode("utf-8", "replace"))) for t in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
@@ -366,7 +378,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
 
     def run(batches):
         model = shared.value
-        restorer, memo = Restorer(model.language), {}
+        restorer, memo = _restorer(model.language), {}
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(texts(b.column(at)), restorer, memo), pa.float64())], names=[*b.schema.names, column])
 
