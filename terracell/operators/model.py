@@ -30,8 +30,8 @@ def prepare_features(cloud: PointFrame, use_rgb: bool = True, use_intensity: boo
     if use_rgb and cloud.has("red"):
         out += [F.col(c) / F.lit(255.0) for c in ("red", "green", "blue")]
     if use_intensity and cloud.has("intensity"):
-        top = cloud.df.agg(F.max("intensity")).first()[0] or 0.0
-        out.append(F.col("intensity") / F.lit(float(top)) if top > 0 else F.col("intensity"))
+        top = (cloud.df.agg(F.max("intensity")).first()[0] or 0.0) if normalize else 0.0
+        out.append(F.col("intensity") / F.lit(float(top)) if normalize and top > 0 else F.col("intensity"))
     if use_normals and cloud.has("nx"):
         out += [F.col(c) for c in ("nx", "ny", "nz")]
     return cloud.df.select("pid", F.array(*(e.cast("float") for e in out)).alias("features"))
@@ -47,6 +47,40 @@ def onnx_session(path: str) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: np.asarray(session.run(None, {name: x[None]})[0])[0]
 
 
+def _field(number: int, value: int | bytes | str) -> bytes:
+    """A field of the protocol buffer format: a varint, or a length and bytes."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes((n & 127 | 128,)), n >> 7
+        return out + bytes((n,))
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def linear_onnx(weights: np.ndarray, bias: np.ndarray) -> bytes:
+    """An ONNX model: scores = features @ weights + bias, of (1, points, features)."""
+
+    def tensor(name: str, a: np.ndarray) -> bytes:
+        return b"".join(_field(1, n) for n in a.shape) + _field(2, 1) + _field(8, name) + _field(9, np.ascontiguousarray(a, "<f4").tobytes())
+
+    def value(name: str, last: int) -> bytes:
+        dims = b"".join(_field(1, d) for d in (_field(1, 1), _field(2, "points"), _field(1, last)))
+        return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, dims)))
+
+    def node(kind: str, inputs: tuple, output: str) -> bytes:
+        return b"".join(_field(1, i) for i in inputs) + _field(2, output) + _field(4, kind)
+
+    w, b = np.atleast_2d(weights), np.atleast_1d(bias)
+    graph = _field(1, node("MatMul", ("x", "w"), "m")) + _field(1, node("Add", ("m", "b"), "y")) + _field(2, "linear") + _field(5, tensor("w", w)) + _field(5, tensor("b", b))
+    graph += _field(11, value("x", w.shape[0])) + _field(12, value("y", w.shape[1]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
 def torch_session(path: str) -> Callable[[np.ndarray], np.ndarray]:
     try:
         import torch

@@ -7,7 +7,9 @@ once and run by both engines. Every query covers all points.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from terracell.frame import Acquisition, PointFrame, ScanPosition
 from terracell.functions import crs
 from terracell.operators import change, cluster, colour, export, filters, ground, mesh, metrics, model, powerlines, primitives, raster, registration, shape, tiling
+from terracell.plans.durable import shared_folder
 from terracell.plans.grid import GridSpec
 from terracell.plans.neighbours import nearest_k, nearest_within, radius_pairs
+from terracell.sources import formats
+from terracell.streaming import ingest
 
 VIEW = """
 SELECT o_orderkey AS pid,
@@ -146,8 +151,7 @@ def _(c):
 
 @query("f9_viewpoint_mask")
 def _(c):
-    seen = PointFrame(filters.voxel_downsample(c, 5.0).df, Acquisition(scan_positions=(ScanPosition(50, 50, 60),)))
-    return mesh.viewpoint_mask(seen)
+    return mesh.viewpoint_mask(PointFrame(c.df, Acquisition(scan_positions=(ScanPosition(50, 50, 60),))))
 
 
 @query("f10_reproject_mercator", f"""WITH {P} SELECT pid, {r('6378137.0 * radians(x / 10)', 'x', 4)}, {r('6378137.0 * ln(tan(pi() / 4 + radians(y / 10) / 2))', 'y', 4)}, z FROM p""")
@@ -245,13 +249,20 @@ def _(c):
 @query("n1_estimate_normals", f"""WITH {P}, {MOMENTS}, v AS (SELECT pid, n, e3, e1, 3*q-e1-e3 AS e2, (xy*yz-xz*(yy-e3)) AS ax, (xz*xy-(xx-e3)*yz) AS ay, ((xx-e3)*(yy-e3)-xy*xy) AS az, (xy*(zz-e3)-xz*yz) AS bx, (xz*xz-(xx-e3)*(zz-e3)) AS by_, ((xx-e3)*yz-xy*xz) AS bz,
 ((yy-e3)*(zz-e3)-yz*yz) AS cx, (yz*xz-xy*(zz-e3)) AS cy, (xy*yz-(yy-e3)*xz) AS cz FROM e),
 w AS (SELECT *, ax*ax+ay*ay+az*az AS la, bx*bx+by_*by_+bz*bz AS lb, cx*cx+cy*cy+cz*cz AS lc FROM v),
-u AS (SELECT pid, n, e1, e2, e3, CASE WHEN la >= lb AND la >= lc THEN abs(az)/sqrt(la) WHEN lb >= lc THEN abs(bz)/sqrt(lb) ELSE abs(cz)/sqrt(lc) END AS nz FROM w WHERE greatest(la, lb, lc) > 0)
-SELECT pid, n, {r('nz', 'upright', 5)} FROM u WHERE n >= 5 AND e2 - e3 > 0.01 * e1""")
+u AS (SELECT pid, CASE WHEN la >= lb AND la >= lc THEN abs(az)/sqrt(la) WHEN lb >= lc THEN abs(bz)/sqrt(lb) ELSE abs(cz)/sqrt(lc) END AS nz FROM w WHERE greatest(la, lb, lc) > 0),
+f AS (SELECT pid, n, n >= 5 AND e2 - e3 > 0.01 * e1 AS clear FROM v)
+SELECT f.pid AS pid, f.n AS n, clear, CASE WHEN f.n < 3 THEN 1.0 WHEN clear THEN round(nz, 5) + 0.0 END AS upright FROM f LEFT JOIN u ON u.pid = f.pid""")
 def _(c):
+    # Every point; the direction itself only where it is told apart from others (clear), and where it is set (under 3 neighbours).
     df = shape.normals_at(c.df, c.df, 2.0)
     gaps = shape.eigenvalues(shape.covariance(shape.neighbourhoods(c.df, c.df, 2.0).groupBy(F.col("a_pid").alias("pid")).agg(*shape.moment_sums())), clamp=False)
-    clear = gaps.where("n >= 5 and l2 - l3 > 0.01 * l1").select("pid")
-    return rounded(df.join(clear, "pid").select("pid", "n", F.abs("nz").alias("upright")), "upright", digits=5)
+    told = df.join(gaps.select("pid", ((F.col("n") >= 5) & (F.col("l2") - F.col("l3") > 0.01 * F.col("l1"))).alias("clear")), "pid")
+    return rounded(told.select("pid", "n", "clear", F.when((F.col("n") < 3) | F.col("clear"), F.abs("nz")).alias("upright")), "upright", digits=5)
+
+
+@query("n1_normals_of_all")
+def _(c):
+    return shape.normals_at(c.df, c.df, 2.0).select("pid", "nx", "ny", "nz")
 
 
 @query("n2_orient_normals", f"""WITH {P}, q AS (SELECT pid, x, y, z, (pid % 7 - 3) / 5.0 AS nx, (pid % 5 - 2) / 5.0 AS ny, (pid % 3 - 1) / 5.0 AS nz FROM p),
@@ -428,7 +439,27 @@ def _(c):
 
 @query("c1_ground_csf")
 def _(c):
-    return ground.classify_ground_csf(c.with_df(c.df.drop("classification")), 2.0, iterations=100).df.select("pid", "classification")
+    return ground.classify_ground_csf(c.with_df(c.df.drop("classification")), 2.0).df.select("pid", "classification")
+
+
+def csf_sql(res: float, steps: int) -> str:
+    """The cloth after a number of steps too small for it to come to rest."""
+    n = {a: f"greatest(2, CAST(ceil(({a}1 - {a}0) / {res}) AS BIGINT) + 1)" for a in "xy"}
+    at = lambda a: f"greatest(0, least(n{a} - 1, CAST(floor(({a} - {a}0) / d{a} + 0.5) AS BIGINT)))"
+    out = f"""WITH {P}, {BOUNDS}, g AS (SELECT *, (x1 - x0) / (nx - 1) AS dx, (y1 - y0) / (ny - 1) AS dy FROM (SELECT {n['x']} AS nx, {n['y']} AS ny, * FROM b)), {dense_cells()},
+t AS (SELECT row, col, x0 + col * dx AS x, y0 + row * dy AS y, z1 FROM d, g),
+c0 AS MATERIALIZED (SELECT row, col, any_value(z1) - arg_min(p.z, ((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y), p.pid)) AS s FROM t JOIN p ON p.x BETWEEN t.x - 15 AND t.x + 15 AND p.y BETWEEN t.y - 15 AND t.y + 15 GROUP BY row, col),
+s0 AS (SELECT row, col, s, s AS c FROM c0)"""
+    for k in range(1, steps + 1):
+        ends = " + ".join(f"coalesce({f}(a) OVER (PARTITION BY {by} ORDER BY {over}), a)" for by, over in (("col", "row"), ("row", "col")) for f in ("lag", "lead"))
+        out += f", a{k} AS (SELECT row, col, s, 0.9 * c + 0.1 * s AS a FROM s{k - 1}), s{k} AS MATERIALIZED (SELECT row, col, s, greatest(s, 0.3 * a + 0.175 * ({ends})) AS c FROM a{k})"
+    return out + f""", k AS (SELECT pid, z, z1, {at('y')} AS row, {at('x')} AS col FROM p, g)
+SELECT pid, CAST(CASE WHEN abs(k.z - (z1 - c)) <= {res / 2} THEN 2 ELSE 1 END AS SMALLINT) AS classification FROM k JOIN s{steps} USING (row, col)"""
+
+
+@query("c1_ground_csf_steps", csf_sql(2.0, 12))
+def _(c):
+    return ground.classify_ground_csf(c.with_df(c.df.drop("classification")), 2.0, iterations=12).df.select("pid", "classification")
 
 
 @query("d1_cluster_dbscan", f"""WITH RECURSIVE {P}, q AS MATERIALIZED {near(0.8)}, k AS MATERIALIZED (SELECT ap AS pid FROM q GROUP BY ap HAVING count(*) >= 3),
@@ -454,6 +485,22 @@ def _(c):
     return cluster.segment_trees(c, 2.0)
 
 
+@query("d2_stems_per_hectare")
+def _(c):
+    return cluster.stems_per_hectare(c, cluster.segment_trees(c, 2.0))
+
+
+@query("d2_building_footprints", f"""WITH RECURSIVE {P}, {BOUNDS}, {grid_size(2.0)}, k AS (SELECT {cells(2.0)}, z - z0 AS h FROM p, b),
+t AS MATERIALIZED (SELECT row, col, row * any_value(nx) + col AS node, max(h) AS h FROM k, g GROUP BY row, col HAVING max(h) >= 14),
+e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM t a JOIN t b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+r(node, root) AS (SELECT node, node FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS footprint FROM r GROUP BY node)
+SELECT footprint, count(*) AS cells, count(*) * 4.0 AS area, {r('min(x0 + col * 2.0)', 'xmin')}, {r('max(y0 + row * 2.0) + 2.0', 'ymax')}, {r('max(h)', 'height')} FROM m JOIN t USING (node), b GROUP BY footprint HAVING count(*) * 4.0 >= 20""")
+def _(c):
+    found = cluster.building_footprints(c, 2.0, 14.0, 20.0)
+    return rounded(found.select("footprint", "cells", "area", "xmin", "ymax", "height"), "xmin", "ymax", "height")
+
+
 @query("d3_detect_powerlines")
 def _(c):
     found = powerlines.detect_powerlines(c, min_height_above_ground=1.0, linearity_threshold=0.6, strict=False, min_clearance=4.0)
@@ -468,40 +515,77 @@ def _(c):
     return rounded(powerlines.height_above_ground(c.df.where("classification = 1"), c.df.where("classification = 2")), "hag")
 
 
-@query("p1_detect_planes")
+def with_plane(spark, sf_dir):
+    """The cloud with its ground on one plane."""
+    c = points(spark, sf_dir)
+    return c.with_df(c.df.withColumn("z", F.when(F.col("classification") == 2, F.col("x") / 20).otherwise(F.col("z"))))
+
+
+@query("p1_detect_planes", f"WITH {P} SELECT pid FROM p WHERE classification = 2 OR abs(z - x / 20) / sqrt(1 + 1 / 400.0) <= 0.005", with_plane)
+def _(c):
+    return primitives.detect_planes(c, 0.005, max_planes=1)[0].inliers
+
+
+@query("p1_planes_of_the_cloud")
 def _(c):
-    found = primitives.detect_planes(c, 0.1, num_iterations=200, max_planes=1)
-    return found[0].inliers if found else c.df.select("pid").limit(0)
+    found = primitives.detect_planes(c, 0.1)
+    rows = [(k, float(p.normal[0]), float(p.normal[1]), float(p.normal[2]), p.d, p.n_inliers, p.rmse) for k, p in enumerate(found)]
+    return c.df.sparkSession.createDataFrame(rows, "plane int, nx double, ny double, nz double, d double, n_inliers long, rmse double")
 
 
-@query("p2_detect_cylinders")
+def with_cylinder(spark, sf_dir):
+    """The cloud with its ground rolled up to an upright cylinder, with normals."""
+    c = points(spark, sf_dir)
+    angle, on = F.col("x") * math.pi / 50, F.col("classification") == 2
+    return c.with_df(c.df.select(
+        "pid", F.when(on, 150 + 5 * F.cos(angle)).otherwise(F.col("x")).alias("x"), F.when(on, 50 + 5 * F.sin(angle)).otherwise(F.col("y")).alias("y"), F.when(on, F.col("y") / 5).otherwise(F.col("z")).alias("z"),
+        F.when(on, F.cos(angle)).otherwise(0.0).alias("nx"), F.when(on, F.sin(angle)).otherwise(0.6).alias("ny"), F.when(on, 0.0).otherwise(0.8).alias("nz"),
+    ))
+
+
+@query("p2_detect_cylinders", f"WITH {P} SELECT pid FROM p WHERE classification = 2", with_cylinder)
 def _(c):
-    found = primitives.detect_cylinders(c, 0.5, (1.0, 20.0), 100, 50)
-    return found[0].inliers if found else c.df.select("pid").limit(0)
+    return primitives.detect_cylinders(c, 0.05, (1.0, 20.0))[0].inliers
 
 
 # ---- registration
 
 def moved(c: PointFrame) -> tuple[PointFrame, np.ndarray]:
     m = np.eye(4)
-    a = math.radians(0.3)
+    a = math.radians(0.02)
     m[:2, :2] = [[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]]
-    m[:3, 3] = (0.05, -0.08, 0.02)
+    m[:3, 3] = (0.03, -0.04, 0.02)
     return c.with_df(registration.transformed(c.df, m)), m
 
 
-@query("i2_icp_point_to_point", None)
+def _back() -> dict[str, float]:
+    """What undoes ``moved``: R' and -R' t."""
+    a, t = math.radians(0.02), (0.03, -0.04, 0.02)
+    turn = [[math.cos(a), math.sin(a), 0.0], [-math.sin(a), math.cos(a), 0.0], [0.0, 0.0, 1.0]]
+    rows = [[*row, -sum(x * y for x, y in zip(row, t, strict=True))] for row in turn] + [[0.0, 0.0, 0.0, 1.0]]
+    return {f"m{i}{j}": rows[i][j] for i in range(4) for j in range(4)}
+
+
+BACK_SQL = "SELECT " + ", ".join(f"round(CAST({v!r} AS DOUBLE), 3) + 0.0 AS {n}" for n, v in _back().items()) + ", CAST(1.0 AS DOUBLE) AS fitness, CAST(0.0 AS DOUBLE) AS inlier_rmse, true AS converged"
+
+
+def _found(c: PointFrame, found) -> DataFrame:
+    return rounded(found.table(c.df.sparkSession).drop("n_iterations"), *_back(), "fitness", "inlier_rmse", digits=3)
+
+
+@query("i1_icp_auto", BACK_SQL)
+def _(c):
+    return _found(c, registration.icp(moved(c)[0], shape.estimate_normals(c, 6.0)))
+
+
+@query("i2_icp_point_to_point", BACK_SQL)
 def _(c):
-    thin = filters.voxel_downsample(c, 3.0)
-    found = registration.icp_point_to_point(moved(thin)[0], thin, 1.5, 6)
-    return rounded(found.table(c.df.sparkSession), "fitness", "inlier_rmse", digits=4)
+    return _found(c, registration.icp_point_to_point(moved(c)[0], c))
 
 
-@query("i3_icp_point_to_plane", None)
+@query("i3_icp_point_to_plane", BACK_SQL)
 def _(c):
-    thin = filters.voxel_downsample(c, 3.0)
-    found = registration.icp_point_to_plane(moved(thin)[0], shape.estimate_normals(thin, 6.0), 1.5, 6)
-    return rounded(found.table(c.df.sparkSession), "fitness", "inlier_rmse", digits=4)
+    return _found(c, registration.icp_point_to_plane(moved(c)[0], shape.estimate_normals(c, 6.0)))
 
 
 @query("i4_fpfh")
@@ -510,10 +594,11 @@ def _(c):
     return registration.compute_fpfh(c.with_df(df), 1.5).select("pid", F.transform("fpfh", lambda v: F.round(v, 6)).alias("fpfh"))
 
 
-@query("i6_align_scans")
+@query("i6_align_scans", "SELECT CAST(0 AS INTEGER) AS scan, " + ", ".join(f"CAST({float(k[1] == k[2])} AS DOUBLE) AS {k}" for k in _back()) + " UNION ALL SELECT CAST(1 AS INTEGER), " + ", ".join(f"round(CAST({v!r} AS DOUBLE), 3) + 0.0" for v in _back().values()))
 def _(c):
-    thin = filters.voxel_downsample(c, 5.0)
-    return registration.align_scans([thin, moved(thin)[0]], max_correspondence_distance=1.5, max_iterations=4).table(c.df.sparkSession)
+    found = registration.align_scans([c, moved(c)[0]])
+    rows = [(k, *(float(v) for v in t.ravel())) for k, t in enumerate(found.transforms)]
+    return rounded(c.df.sparkSession.createDataFrame(rows, "scan int, " + ", ".join(f"{n} double" for n in _back())), *_back(), digits=3)
 
 
 @query("i7_apply_transform", f"WITH {P} SELECT pid, {r('0.8 * x - 0.6 * y + 5.0', 'x')}, {r('0.6 * x + 0.8 * y - 3.0', 'y')}, {r('z + 1.0', 'z')} FROM p")
@@ -594,9 +679,45 @@ def _(c):
 
 # ---- exports, models, meshes
 
-@query("k4_text_lines", f"WITH {P} SELECT pid, printf('%.6f %.6f %.6f', x, y, z) AS line FROM p")
+def _written(c: PointFrame, suffix: str) -> PointFrame:
+    """The cloud written to a file of the shared folder and read back."""
+    spark = c.df.sparkSession
+    folder = Path(shared_folder(spark)) / "files"
+    folder.mkdir(parents=True, exist_ok=True)
+    path = str(folder / f"{uuid.uuid4().hex}{suffix}")
+    formats.write(c, path)
+    return formats.read(spark, path)
+
+
+ROUND_TRIP = f"WITH {P} SELECT {r('x', 'x', 2)}, {r('y', 'y', 2)}, {{}} FROM p"
+
+
+@query("k1_parquet_round_trip", ROUND_TRIP.format("z, pid, intensity, classification"))
+def _(c):
+    return rounded(_written(c, ".parquet").df.select("x", "y", "z", "pid", "intensity", "classification"), "x", "y", digits=2)
+
+
+@query("k2_las_round_trip", ROUND_TRIP.format("CAST(floor(intensity) AS DOUBLE) AS intensity, classification, return_number"))
 def _(c):
-    return c.df.select("pid", F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("line"))
+    back = _written(c.with_df(c.df.withColumn("z", F.round("z", 2))), ".las").df
+    return rounded(back.select("x", "y", F.col("intensity").cast("double").alias("intensity"), F.col("classification").cast("smallint").alias("classification"), F.col("return_number").cast("smallint").alias("return_number")), "x", "y", digits=2)
+
+
+@query("k3_ply_round_trip", ROUND_TRIP.format("z"))
+def _(c):
+    return rounded(_written(c, ".ply").df.select("x", "y", "z"), "x", "y", digits=2)
+
+
+@query("k4_text_round_trip", ROUND_TRIP.format(r("z", "z", 4)))
+def _(c):
+    return rounded(rounded(_written(c, ".xyz").df.select("x", "y", "z"), "x", "y", digits=2), "z", digits=4)
+
+
+@query("k4_text_lines", f"WITH {P} SELECT printf('%.6f %.6f %.6f %.6f', x, y, z, intensity) AS value FROM p")
+def _(c):
+    path = f"{shared_folder(c.df.sparkSession)}/{uuid.uuid4().hex}"
+    formats.write_text(c, path)
+    return c.df.sparkSession.read.text(path)
 
 
 @query("k6_tileset_chunks", f"WITH {P}, k AS (SELECT CAST(floor((row_number() OVER (ORDER BY pid) - 1) / 700) AS BIGINT) AS chunk, x FROM p) SELECT chunk, count(*) AS n, min(x) AS x_min FROM k GROUP BY chunk")
@@ -630,13 +751,15 @@ def _(c):
     return rounded(df.select("pid", *(F.col("features")[k].cast("double").alias(n) for k, n in ((0, "fx"), (2, "fz"), (3, "fi")))), "fx", "fz", "fi", digits=9)
 
 
-@query("l2_predict", f"WITH {P} SELECT pid, CASE WHEN z > 8 THEN 1 ELSE 0 END AS label FROM p")
+@query("l2_predict", f"WITH {P} SELECT pid, CAST(CASE WHEN z > 8 THEN 1 ELSE 0 END AS INTEGER) AS label FROM p")
 def _(c):
-    def open_session():
-        return lambda x: np.stack([np.full(len(x), 8.0, np.float32), x[:, 2]], 1)
-
-    exact = c.with_df(c.df.withColumn("z", F.col("z")))
-    return model.predict_with(model.prepare_features(exact, normalize=False), open_session).select("pid", "label")
+    folder = Path(shared_folder(c.df.sparkSession)) / "models"
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"{uuid.uuid4().hex}.onnx"
+    weights = np.zeros((4, 2))
+    weights[2, 1] = 1.0  # class 1 scores z, class 0 scores 8
+    path.write_bytes(model.linear_onnx(weights, np.array([8.0, 0.0])))
+    return model.predict_semantic(c, str(path), normalize=False).select("pid", "label")
 
 
 @query("b3_grid_mesh", f"""{SURFACE}, s AS (SELECT a.row AS row, a.col AS col FROM t a JOIN t b ON b.row = a.row AND b.col = a.col + 1 JOIN t c ON c.row = a.row + 1 AND c.col = a.col JOIN t d ON d.row = a.row + 1 AND d.col = a.col + 1)
@@ -645,10 +768,22 @@ def _(c):
     return mesh.grid_mesh(surface(c)).faces
 
 
-def events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def event_stream(spark, sf_dir):
+    """The events as a stream of points."""
+    path = f"{sf_dir}/events.parquet"
+    at = {"x": (F.col("user_id") % 50).cast("double"), "y": F.col("value") / 10, "ts": F.col("ts").cast("timestamp")}
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").withColumns(at)
 
 
-@query("e1_event_density", "SELECT CAST(floor(value / 10) AS BIGINT) AS row, CAST(user_id % 50 AS BIGINT) AS col, count(*) AS count FROM events GROUP BY ALL", events)
+@query("e1_event_density", "SELECT CAST(floor(value / 10) AS BIGINT) AS row, CAST(user_id % 50 AS BIGINT) AS col, CAST(count(*) AS BIGINT) AS count FROM events GROUP BY ALL", event_stream)
 def _(e):
-    return e.groupBy(F.floor(F.col("value") / 10).cast("long").alias("row"), (F.col("user_id") % 50).alias("col")).agg(F.count("*").alias("count"))
+    folder = f"{shared_folder(e.sparkSession)}/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch{batch}")
+
+    counted = ingest.stream_density(e.select("ts", "x", "y"), 1.0, window="1 hour")
+    run = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    return e.sparkSession.read.parquet(f"{folder}/batch{last}").groupBy("row", "col").agg(F.sum("count").alias("count"))
