@@ -1,10 +1,14 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A fingerprint's 64 bits fall into 32 segments of two bits. The vector of segment
-popcounts embeds it in a grid where the Manhattan distance never exceeds the
-Hamming distance. Two fingerprints that differ in at most three bits differ in
-at most one bit in one half, so there their vectors are equal or one step apart
-along one axis: a grid range-join on half vectors meets every such pair, and the
+A fingerprint's 64 bits fall into 32 segments of two bits, eight to a quarter. The
+vector of segment popcounts embeds it in a grid where the Manhattan distance never
+exceeds the Hamming distance. Of two fingerprints that differ in at most three
+bits some quarter is equal while the next one (the first follows the last) differs
+in at most one bit: of four quarters one at least is equal, and if the one after
+it differs in two bits or more, only one bit is left for the other two, so one of
+these is equal as well and followed by a quarter that differs in one bit at most.
+There the popcount vectors are equal or one step apart along one axis: a grid
+range-join on (equal quarter, vector of the next) meets every such pair, and the
 exact Hamming distance then verifies it. Equal fingerprints are one node, so
 copies are never expanded into pairs.
 """
@@ -60,22 +64,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
 
 
-def _vector(half: Column) -> Column:
-    """The sixteen popcounts of a half's two-bit segments, packed in 32 bits."""
-    odd = F.lit(0x55555555)
-    return half.bitwiseAND(odd) + F.shiftrightunsigned(half, 1).bitwiseAND(odd)
+def _quarter(k: int) -> Column:
+    return F.shiftrightunsigned("fp", 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+
+
+def _vector(quarter: Column) -> Column:
+    """The eight popcounts of a quarter's two-bit segments, packed in 16 bits."""
+    odd = F.lit(0x5555)
+    return quarter.bitwiseAND(odd) + F.shiftrightunsigned(quarter, 1).bitwiseAND(odd)
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """(fp, half, vec): a row for either half."""
-    low = F.lit(0xFFFFFFFF)
-    halves = (F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32))
-    rows = F.array(*(F.struct(F.lit(h).cast("long").alias("half"), _vector(x).alias("vec")) for h, x in enumerate(halves)))
-    return fps.select("fp", F.explode(rows).alias("c")).select("fp", "c.half", "c.vec")
+    """(fp, key, vec): a row for each quarter, key naming it and its bits, vec the popcounts of the next."""
+    rows = F.array(*(F.struct((_quarter(k) + F.lit(k << 16)).cast("long").alias("key"), _vector(_quarter(k + 1)).alias("vec")) for k in range(4)))
+    return fps.select("fp", F.explode(rows).alias("c")).select("fp", "c.key", "c.vec")
 
 
-def _cell(half: str, vec: Column) -> Column:
-    return F.shiftleft(F.col(half), 32).bitwiseOR(vec)
+def _cell(key: str, vec: Column) -> Column:
+    return F.shiftleft(F.col(key), 16).bitwiseOR(vec)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -86,13 +92,13 @@ def links(fps: DataFrame) -> DataFrame:
     forest, so no group is expanded into all its pairs.
     """
     cells = _cells(fps)
-    home = cells.select("fp", _cell("half", F.col("vec")).alias("cell"))
+    home = cells.select("fp", _cell("key", F.col("vec")).alias("cell"))
     # Segment i has count < 2 where its high bit is clear: a step up stays in the grid.
-    steps = [F.when(F.col("vec").bitwiseAND(F.lit(2 << 2 * i)) == 0, F.col("vec") + F.lit(1 << 2 * i)) for i in range(16)]
+    steps = [F.when(F.col("vec").bitwiseAND(F.lit(2 << 2 * i)) == 0, F.col("vec") + F.lit(1 << 2 * i)) for i in range(8)]
     reach = (
-        cells.select("fp", "half", F.posexplode(F.array(F.col("vec"), *steps)).alias("step", "to"))
+        cells.select("fp", "key", F.posexplode(F.array(F.col("vec"), *steps)).alias("step", "to"))
         .where("to is not null")
-        .select("fp", _cell("half", F.col("to")).alias("cell"), (F.col("step") > 0).alias("moved"))
+        .select("fp", _cell("key", F.col("to")).alias("cell"), (F.col("step") > 0).alias("moved"))
     )
     hot = durable(home.groupBy("cell").count().where(F.col("count") > CELL_ROWS))
     crowded = not hot.isEmpty()

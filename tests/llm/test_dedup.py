@@ -93,6 +93,15 @@ def test_grid_join_finds_every_near_fingerprint(spark, monkeypatch):
     assert groups(_links_of(spark, fps)) == want
 
 
+def test_some_quarter_is_equal_and_the_next_nearly():
+    import itertools
+
+    for bits in range(4):
+        for at in itertools.combinations_with_replacement(range(4), bits):
+            d = [at.count(k) for k in range(4)]
+            assert any(d[k] == 0 and d[(k + 1) % 4] <= 1 for k in range(4)), d
+
+
 def test_keep_one_keeps_one_of_each_group_and_all_columns(spark):
     rows = [(5, "a b c d e", "en", "s", 1), (2, "A B C D E", "en", "s", 1), (2, "A B C D E", "en", "s", 1), (9, "", None, None, None), (7, None, "x", "y", 0), (8, "quite another text here", "en", "s", 1)]
     out = simhash.keep_one(spark.createDataFrame(rows, DOCS))
