@@ -4,10 +4,12 @@ A text is the set of its word shingles. Put every set in one order, rarest shing
 first: two sets of n and m shingles at similarity t or more share at least one of
 their first n - ceil(t n) + 1 and m - ceil(t m) + 1 (Chaudhuri et al., 2006; Xiao
 et al., 2008). Any order is right; this one, by counts of hashed shingles, keeps
-common passages out of the prefixes. Equal sets are one node. Nodes that share a
-prefix shingle are first compared with the least of them, which joins up large
-groups in one pair a node; then those still apart are compared with one another.
-Every candidate is verified on whole sets.
+common passages out of the prefixes. Equal sets are one node. In a few rounds every
+node is compared with one other: of the nodes that own one of its prefix shingles
+(each round another node of all that have it) the one that shares most with it. That
+joins up large groups with one pair a node and round. Then those still apart are
+compared with one another, where sizes and the places of a shared shingle allow
+the similarity at all. Every candidate is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.llm.base import LOWER, map_rows, texts
@@ -30,6 +32,8 @@ COUNTED, PART = 1 << 20, 1 << 14
 BITS = 1 << 23
 #: Keeps a product with a similarity that is an integer from being rounded up.
 TINY = 1e-9
+#: Rounds in which a node meets one other before all that are still apart meet.
+ROUNDS = 2
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -146,14 +150,34 @@ def _sets(docs: DataFrame, text: str, words: int, nodes: DataFrame, pairs: DataF
     return durable(found.dropDuplicates(["digest"]))
 
 
+def _reaches(similarity: float, overlap: str) -> Column:
+    """Whether sets of n and m shingles that have ``overlap`` of them in common at most can reach the similarity."""
+    return F.expr(overlap) >= F.expr("n + m") * (similarity / (1 + similarity)) - TINY
+
+
+#: What sets can share at most that both have the shingle at places i and j.
+_AT_PLACES = "least(i, j) + 1 + least(n - 1 - i, m - 1 - j)"
+
+
 def _possible(shared: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that can reach the similarity, of (a, b, n, m, i, j): sizes, and places of a shingle that both prefixes have.
+    """The pairs (a, b, c) that can reach the similarity, of (a, b, n, m, i, j): sizes, and places of a shingle that both prefixes have; c is how many they share.
 
     Up to the last such shingle the sets have just those in common, and beyond it at most what the shorter rest holds.
     """
     met = shared.groupBy("a", "b").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in "nmij"))
-    most = F.col("c") + F.least(F.expr("n - 1 - i"), F.expr("m - 1 - j"))
-    return met.where(most >= F.expr("n + m") * (similarity / (1 + similarity)) - TINY).select("a", "b")
+    return met.where(_reaches(similarity, "c + least(n - 1 - i, m - 1 - j)")).select("a", "b", "c")
+
+
+def _one_each(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): for each node at most one owner of its shingles, of another root.
+
+    First shingles are owned by the node that shares most shingles with most others, which is what copies have in common; in later turns by a hash.
+    """
+    first = F.xxhash64("digest", F.lit(turn)) if turn else -F.col("degree")
+    node = F.struct(first.alias("o"), "digest", "n", "at", "root")
+    owned = placed.withColumn("owner", F.min(node).over(Window.partitionBy("shingle"))).where("root <> owner.root")
+    met = owned.selectExpr("digest a", "owner.digest b", "n", "owner.n m", "at i", "owner.at j").where(_reaches(similarity, _AT_PLACES))
+    return _possible(met, similarity).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -173,31 +197,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     base = measured.where("part is null").select("key", "digest", "mark")
     nodes = durable(base.groupBy("digest").agg(F.min("key").alias("least"), F.min("mark").alias("mark")))
 
-    node = F.struct("digest", "n", "at")
-    ends = {f: getattr(F, f)(node).over(Window.partitionBy("shingle")) for f in ("min", "max")}
-    shared = _prefixes(docs, text, words, similarity, _frequencies(measured)).withColumns(ends).where("min.digest < max.digest")
-    prefixes = durable(shared.select("shingle", "digest", "n", "at", F.col("min").alias("owner")).distinct())
-
-    to_owner = prefixes.where("digest <> owner.digest").selectExpr("digest a", "owner.digest b", "n", "owner.n m", "at i", "owner.at j")
-    near = durable(_possible(to_owner, similarity))
-    sets = _sets(docs, text, words, nodes, near)
-    stars = durable(_verified(near, sets, similarity))
-    discard(near, sets)
-    first = durable(connected_components(stars))
-    placed = prefixes.join(first.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    ends = {f: getattr(F, f)("digest").over(Window.partitionBy("shingle")) for f in ("min", "max")}
+    shared = _prefixes(docs, text, words, similarity, _frequencies(measured)).withColumns(ends).where("min < max")
+    of_shingle = F.count("*").over(Window.partitionBy("shingle"))
+    shared = shared.select("shingle", "digest", "n", "at").distinct().withColumn("has", of_shingle)
+    prefixes = durable(shared.withColumn("degree", F.sum("has").over(Window.partitionBy("digest"))).drop("has"))
+    links, placed = None, prefixes.withColumn("root", F.col("digest"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = _sets(docs, text, words, nodes, pairs)
+        found = durable(_verified(pairs, sets, similarity))
+        discard(pairs, sets)
+        return found
+
+    def placed_by(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        roots = durable(connected_components(found))
+        return roots, prefixes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+    for turn in range(ROUNDS):
+        found = verified(durable(_one_each(placed, turn, similarity)))
+        links = found if links is None else durable(links.unionByName(found))
+        roots, placed = placed_by(links)
+        if found.isEmpty():
+            break
     ends = {f: getattr(F, f)("root").over(Window.partitionBy("shingle")) for f in ("min", "max")}
     apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root"))
-    both = (
-        apart.alias("l")
-        .hint("merge")
-        .join(apart.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.digest") < F.col("r.digest")) & (F.col("l.root") != F.col("r.root")))
-        .selectExpr("l.digest a", "r.digest b", "l.n n", "r.n m", "l.at i", "r.at j")
-    )
-    pairs = durable(_possible(both, similarity))
-    sets = _sets(docs, text, words, nodes, pairs)
-    links = durable(stars.unionByName(_verified(pairs, sets, similarity)))
+    # Sizes within a factor of the similarity lie in one class or in two that meet.
+    size = F.floor(F.log(F.col("n")) / math.log(1 / similarity)).cast("int") if similarity < 1 else F.col("n")
+    sides = [apart.withColumn("size", size), apart.withColumn("size", F.explode(F.array(size - 1, size, size + 1)))]
+    l, r = (x.select(*(F.col(c).alias(to) for c, to in zip(("shingle", "size", "digest", "n", "at", "root"), names, strict=True))) for x, names in zip(sides, (("shingle", "size", "a", "n", "i", "ra"), ("shingle", "size", "b", "m", "j", "rb")), strict=True))  # noqa: E741
+    both = l.hint("merge").join(r.withColumnsRenamed({"shingle": "s2", "size": "z2"}), (F.col("shingle") == F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _reaches(similarity, _AT_PLACES))
+    pairs = durable(_possible(both.select("a", "b", "n", "m", "i", "j"), similarity).select("a", "b"))
+    links = durable(links.unionByName(verified(pairs)))
     roots = durable(connected_components(links))
     named = durable(nodes.join(roots, nodes.digest == roots.node, "left").select("digest", "least", F.coalesce("root", "digest").alias("root")))
     component = durable(named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component"))
-    discard(nodes, prefixes, pairs, sets, stars, first, apart, links, roots, named)
+    discard(nodes, prefixes, apart, links, roots, named)
     return base.join(component, "digest").select("key", "component")
