@@ -48,6 +48,8 @@ LEET_COST, DROP_SYMBOL, DROP_DIGIT, DROP_REPEAT, DROP_DOUBLE, BREAK_COST, WIDE_B
 #: Labelled rows to learn from at most; documents of either sort that a feature must stand in; how far from chance (G) it must be.
 MAX_ROWS, MIN_DOCUMENTS, LEAST_G = 12_000, 5, 25.0
 CACHE = 300_000
+#: Characters whose n-grams a task counts at once: bounds its memory where batches and texts are long.
+WINDOW = 1 << 18
 #: Characters after which what all states agree on is set down, so that states stay short.
 SETTLE = 256
 
@@ -78,14 +80,14 @@ def _cell(gram: str) -> int:
     return ((h ^ h >> 32) * _MIX & _WORD) >> 64 - CELL_BITS
 
 
-def _cells(symbols: np.ndarray):
-    """For each order from 1 to ORDER the cells of all n-grams that don't run over a word's bound."""
+def _cells(symbols: np.ndarray, starts: int | None = None):
+    """For each order from 1 to ORDER the cells of all n-grams that don't run over a word's bound, of those that start at the first ``starts`` places."""
     h, inside = symbols, np.ones(len(symbols), bool)
     for order in range(1, min(ORDER, len(symbols)) + 1):
         if order > 1:
             h = h[:-1] * np.uint64(_STEP) + symbols[order - 1 :]
             inside = inside[:-1] & (symbols[order - 2 : -1] != ord(BOUND)) if order > 2 else inside[:-1]
-        own = h[inside]
+        own = h[:starts][inside[:starts]]
         yield ((own ^ (own >> np.uint64(32))) * np.uint64(_MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
@@ -96,15 +98,19 @@ def count_characters(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
+        _LAST[:] = [None, None]  # a new model is in the making
         total = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             text = "\n".join(t.decode("utf-8", "replace") for t in texts(b.column(0))).lower()
             points = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), "<u4")
-            symbols = np.where(_letters()[points], points, ord(BOUND)).astype(np.uint64)
-            word = symbols != ord(BOUND)
-            symbols = symbols[np.concatenate([[True], word[1:] | word[:-1]])]
-            for cells in _cells(symbols):
-                np.add.at(total, cells, 1)
+            del text
+            word = _letters()[points]
+            kept = np.concatenate([[True], word[1:] | word[:-1]])
+            symbols = np.where(word, points, np.uint32(ord(BOUND)))[kept]
+            del points, word, kept
+            for at in range(0, len(symbols), WINDOW):
+                for cells in _cells(symbols[at : at + WINDOW + ORDER - 1].astype(np.uint64), WINDOW):
+                    np.add.at(total, cells, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
