@@ -158,6 +158,24 @@ def _reaches(similarity: float, overlap: str) -> Column:
 #: What sets can share at most that both have the shingle at places i and j.
 _AT_PLACES = "least(i, j) + 1 + least(n - 1 - i, m - 1 - j)"
 
+#: The same, if p and q of those before are shared with any other root.
+_AFTER_SHARED = "least(p, q) + 1 + least(n - 1 - i, m - 1 - j)"
+
+
+def _size_class(n: Column, similarity: float) -> Column:
+    """Rises with the size; a class is as wide as the similarity."""
+    return F.floor(F.log(n) / math.log(1 / similarity)).cast("int") if similarity < 1 else n.cast("int")
+
+
+def _partner_classes(similarity: float) -> Column:
+    """Classes of the sizes that a partner can have by a shingle at place ``at`` of a set of n, ``before`` of those before it being shared with any other root.
+
+    At most n - (at - before) shingles are common, and similar sets of n and m share (n + m) t / (1 + t) and t n at least.
+    """
+    least = F.ceil(F.col("n") * similarity - TINY)
+    most = F.floor((F.col("n") - F.col("at") + F.col("before")) * ((1 + similarity) / similarity) - F.col("n") + TINY)
+    return F.sequence(_size_class(least, similarity), _size_class(F.greatest(most, least), similarity))
+
 
 def _possible(shared: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, c) that can reach the similarity, of (a, b, n, m, i, j): sizes, and places of a shingle that both prefixes have; c is how many they share.
@@ -221,12 +239,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         if found.isEmpty():
             break
     ends = {f: getattr(F, f)("root").over(Window.partitionBy("shingle")) for f in ("min", "max")}
-    apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root"))
-    # Sizes within a factor of the similarity lie in one class or in two that meet.
-    size = F.floor(F.log(F.col("n")) / math.log(1 / similarity)).cast("int") if similarity < 1 else F.col("n")
-    sides = [apart.withColumn("size", size), apart.withColumn("size", F.explode(F.array(size - 1, size, size + 1)))]
-    l, r = (x.select(*(F.col(c).alias(to) for c, to in zip(("shingle", "size", "digest", "n", "at", "root"), names, strict=True))) for x, names in zip(sides, (("shingle", "size", "a", "n", "i", "ra"), ("shingle", "size", "b", "m", "j", "rb")), strict=True))  # noqa: E741
-    both = l.hint("merge").join(r.withColumnsRenamed({"shingle": "s2", "size": "z2"}), (F.col("shingle") == F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _reaches(similarity, _AT_PLACES))
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("at")) - 1
+    apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root", nth.alias("before")))
+    sides = [apart.withColumn("size", _size_class(F.col("n"), similarity)), apart.withColumn("size", F.explode(_partner_classes(similarity)))]
+    names = ("shingle", "size", "digest", "n", "at", "root", "before")
+    l, r = (x.select(*(F.col(c).alias(to) for c, to in zip(names, own, strict=True))) for x, own in zip(sides, (("shingle", "size", "a", "n", "i", "ra", "p"), ("s2", "z2", "b", "m", "j", "rb", "q")), strict=True))  # noqa: E741
+    both = l.hint("merge").join(r, (F.col("shingle") == F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _reaches(similarity, _AFTER_SHARED))
     pairs = durable(_possible(both.select("a", "b", "n", "m", "i", "j"), similarity).select("a", "b"))
     links = durable(links.unionByName(verified(pairs)))
     roots = durable(connected_components(links))

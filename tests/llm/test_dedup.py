@@ -143,6 +143,28 @@ def test_keep_one_matches_brute_force_jaccard(spark):
     assert simhash.keep_one(out.limit(0)).collect() == []
 
 
+def test_keep_one_where_most_of_a_text_is_a_common_passage(spark):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(80)]
+    texts = []
+    for k in range(90):
+        own = [f"own{k}x{j}" for j in range(rng.choice((0, 1, 3, 6, 9, 12, 18, 25)))]
+        cut = rng.randrange(0, 12)
+        texts.append(" ".join(own + passage[cut:] if k % 2 else passage[: 80 - cut] + own))
+
+    def plain(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets = [plain(t) for t in texts]
+    # Texts that link by a passage alone and texts that only almost do.
+    linked = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    want = sorted(set(plain_components(len(texts), linked)))
+    assert 5 < len(want) < 80
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == want
+
+
 def test_simhash_of_an_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(1, "a b", 3, 4), (None, "a b", 5, 6)], "doc_id long, text string, fp long, component_id long")
