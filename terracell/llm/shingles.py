@@ -8,8 +8,9 @@ common passages out of the prefixes. Equal sets are one node. In a few rounds ev
 node is compared with one other: of the nodes that own one of its prefix shingles
 (each round another node of all that have it) the one that shares most with it. That
 joins up large groups with one pair a node and round. Then those still apart are
-compared with one another, where sizes and the places of a shared shingle allow
-the similarity at all. Every candidate is verified on whole sets.
+compared with one another, where sizes, the places of a shared shingle and bitmaps
+of the whole sets (Sandes et al., 2020) allow the similarity at all. Every
+candidate is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from terracell.plans.durable import discard, durable
 
 #: Cells that shingles are counted in to order them, and cells of a row of counts.
 COUNTED, PART = 1 << 20, 1 << 14
+#: Longs of a set's bitmap: bit h is the parity of its shingles that hash to h, so sets differ in as many shingles at least as their bitmaps in bits.
+SKETCH = 8
 #: Bits that say which texts are wanted; a false yes costs a set that is dropped by the next join.
 BITS = 1 << 23
 #: Keeps a product with a similarity that is an integer from being rounded up.
@@ -59,43 +62,53 @@ def _digest(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).astype(np.int64))
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - TINY) + 1 if n else 0
 
 
 def _measured(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, digest, mark) of every row, ``mark`` a hash of the text; besides, rows of ``part`` and ``counts``: how many sets of a task have a shingle of each cell."""
+    """(key, digest, mark, sketch) of every row, ``mark`` a hash of the text; besides, rows of ``part`` and ``counts``: how many sets of a task have a shingle of each cell."""
     kind = docs.schema[key].dataType
 
     def run(batches):
         counts, of = np.zeros(COUNTED, np.int32), None
-        names = ["key", "mark", "digest", "part", "counts"]
+        names = ["key", "mark", "digest", "sketch", "part", "counts"]
         for b in batches:
-            digests, of = [], b.column(0).type
+            digests, sketches, of = [], [], b.column(0).type
             for t in texts(b.column(1)):
                 found = shingle_set(t, words)
                 digests.append(_digest(found))
+                sketches.append(_sketch(found))
                 np.add.at(counts, (found % np.uint64(COUNTED)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.int64()), pa.nulls(len(digests), pa.int32()), pa.nulls(len(digests), pa.binary())], names=names)
+            rest = [pa.array(digests, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(len(digests), pa.int32()), pa.nulls(len(digests), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *rest], names=names)
         if of is not None:
             n = COUNTED // PART
             rows = pa.array([counts[k * PART : (k + 1) * PART].tobytes() for k in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), rows], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(range(n), pa.int32()), rows], names=names)
 
-    return map_rows(docs.select(key, text, F.xxhash64(text).alias("_mark")), run, f"key {kind.simpleString()}, mark long, digest long, part int, counts binary")
+    return map_rows(docs.select(key, text, F.xxhash64(text).alias("_mark")), run, f"key {kind.simpleString()}, mark long, digest long, sketch array<long>, part int, counts binary")
 
 
 def _frequencies(measured: DataFrame) -> np.ndarray:
-    """Counts by cell, summed by Spark: COUNTED numbers, whatever the input."""
+    """Counts by cell, summed by Spark as they stream in: COUNTED numbers, whatever the input and its tasks."""
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(PART, np.int64)
-        for x in rows.counts:
-            total += np.frombuffer(x, np.int32)
-        return pd.DataFrame({"part": [rows.part.iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.setdefault(part, np.zeros(PART, np.int64))
+                total[part] += np.frombuffer(x, np.int32)
+        rows = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
     out = np.zeros(COUNTED, np.int32)
-    for r in measured.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+    for r in map_rows(measured.where("part is not null").select("part", "counts").repartition("part"), add, "part int, counts binary").collect():
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int32)
     return out
 
@@ -162,6 +175,10 @@ _AT_PLACES = "least(i, j) + 1 + least(n - 1 - i, m - 1 - j)"
 _AFTER_SHARED = "least(p, q) + 1 + least(n - 1 - i, m - 1 - j)"
 
 
+#: The same, by the bits in which bitmaps x and y differ.
+_BY_SKETCHES = f"(n + m - ({' + '.join(f'bit_count(x[{k}] ^ y[{k}])' for k in range(SKETCH))})) / 2"
+
+
 def _size_class(n: Column, similarity: float) -> Column:
     """Rises with the size; a class is as wide as the similarity."""
     return F.floor(F.log(n) / math.log(1 / similarity)).cast("int") if similarity < 1 else n.cast("int")
@@ -212,8 +229,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ASCII case and spacing don't count. Null and empty texts are equal. ``docs`` is read again for each step.
     """
     measured = durable(_measured(docs, key, text, words))
-    base = measured.where("part is null").select("key", "digest", "mark")
-    nodes = durable(base.groupBy("digest").agg(F.min("key").alias("least"), F.min("mark").alias("mark")))
+    base = measured.where("part is null")
+    nodes = durable(base.groupBy("digest").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.min("sketch").alias("sketch")))
 
     ends = {f: getattr(F, f)("digest").over(Window.partitionBy("shingle")) for f in ("min", "max")}
     shared = _prefixes(docs, text, words, similarity, _frequencies(measured)).withColumns(ends).where("min < max")
@@ -240,11 +257,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             break
     ends = {f: getattr(F, f)("root").over(Window.partitionBy("shingle")) for f in ("min", "max")}
     nth = F.row_number().over(Window.partitionBy("digest").orderBy("at")) - 1
-    apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root", nth.alias("before")))
+    apart = durable(placed.withColumns(ends).where("min < max").select("shingle", "digest", "n", "at", "root", nth.alias("before")).join(nodes.select("digest", "sketch"), "digest"))
     sides = [apart.withColumn("size", _size_class(F.col("n"), similarity)), apart.withColumn("size", F.explode(_partner_classes(similarity)))]
-    names = ("shingle", "size", "digest", "n", "at", "root", "before")
-    l, r = (x.select(*(F.col(c).alias(to) for c, to in zip(names, own, strict=True))) for x, own in zip(sides, (("shingle", "size", "a", "n", "i", "ra", "p"), ("s2", "z2", "b", "m", "j", "rb", "q")), strict=True))  # noqa: E741
-    both = l.hint("merge").join(r, (F.col("shingle") == F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _reaches(similarity, _AFTER_SHARED))
+    names = ("shingle", "size", "digest", "n", "at", "root", "before", "sketch")
+    l, r = (x.select(*(F.col(c).alias(to) for c, to in zip(names, own, strict=True))) for x, own in zip(sides, (("shingle", "size", "a", "n", "i", "ra", "p", "x"), ("s2", "z2", "b", "m", "j", "rb", "q", "y")), strict=True))  # noqa: E741
+    both = l.hint("merge").join(r, (F.col("shingle") == F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _reaches(similarity, _AFTER_SHARED) & _reaches(similarity, _BY_SKETCHES))
     pairs = durable(_possible(both.select("a", "b", "n", "m", "i", "j"), similarity).select("a", "b"))
     links = durable(links.unionByName(verified(pairs)))
     roots = durable(connected_components(links))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from terracell.llm import embedding_dedup, simhash
+from terracell.llm import embedding_dedup, shingles, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -276,3 +276,13 @@ def test_pruning_loses_no_pair():
 
 def test_embeddings_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for n, own in ((0, 1), (40, 3), (300, 30), (5000, 400)):
+        common = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        x, y = (np.union1d(common, rng.integers(0, 2**63, own, dtype=np.uint64)) for _ in range(2))
+        bits = np.bitwise_count((shingles._sketch(x) ^ shingles._sketch(y)).view(np.uint64)).sum()  # of signed numbers it counts the magnitude
+        assert shingles._sketch(x).shape == (shingles.SKETCH,)
+        assert bits <= len(np.setxor1d(x, y)) and (own not in (3, 30) or bits > own / 2)
