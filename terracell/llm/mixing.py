@@ -7,8 +7,10 @@ realised exactly, as budgeted block permutations: a source's rows are dealt in
 hashed blocks; each epoch permutes the blocks anew and the rows within them. A
 source's token quota is a number of whole epochs and the beginning of one more:
 whole blocks in that epoch's order while the budget lasts, then rows of the block
-in which it ends. Choosing rows moves none: only counts by source and block, and
-the rows of one block a source, are shuffled.
+in which it ends. What decides is a row's content and, among equal rows, a number,
+so the mixture doesn't depend on how rows are dealt to files. Choosing rows moves
+their hashes, counts by source and block, and the rows of one block a source; texts
+move only where rows repeat, to meet their numbers.
 """
 
 from __future__ import annotations
@@ -137,6 +139,26 @@ def temperature_of_table(sources: DataFrame, budget: int | None = None, target_e
     return alpha, at([alpha])[0][0], budget
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """``base`` with ``_mix_uid``: the hash of a row's content and a number from 0 among the rows that share it.
+
+    Which of equal rows gets which number makes no difference to the result. They are numbered task by task of the one
+    that wrote ``base``, so a window holds the rows of one such task at most, or a count for each.
+    """
+    again = durable(base.groupBy("_mix_hash").count().where("count > 1").select("_mix_hash"))
+    if again.isEmpty():
+        return base.withColumn("_mix_uid", F.struct(F.col("_mix_hash").alias("hash"), F.lit(0).cast("long").alias("nth")))
+    twins = durable(base.select("_mix_hash", "_mix_row", F.shiftright("_mix_row", 33).alias("part")).join(again, "_mix_hash"))
+    before = Window.partitionBy("_mix_hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(twins.groupBy("_mix_hash", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))))
+    nth = F.row_number().over(Window.partitionBy("_mix_hash", "part").orderBy("_mix_row")) - 1
+    numbers = twins.withColumn("at", nth).join(starts, ["_mix_hash", "part"]).select("_mix_row", (F.col("at") + F.col("start")).alias("_mix_nth")).where("_mix_nth > 0")
+    # Hashing the numbers spares a sort of the texts; rows are unique, so no partition is hot.
+    found = base.join(durable(numbers).hint("shuffle_hash"), "_mix_row", "left")
+    discard(again, twins, starts)
+    return found.withColumn("_mix_uid", F.struct(F.col("_mix_hash").alias("hash"), F.coalesce("_mix_nth", F.lit(0)).cast("long").alias("nth"))).drop("_mix_nth")
+
+
 def _permuted(block: Column, key: Column) -> Column:
     """A bijection of 0 .. 2 ** BLOCK_BITS - 1 that ``key`` chooses: three rounds of xor, odd factor and shift."""
     mask, half = F.lit((1 << BLOCK_BITS) - 1), BLOCK_BITS // 2
@@ -162,12 +184,15 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = ENTR
     proportion. ``budget`` is in words of ``text`` and defaults to all there are.
     A source's rows without words are used once an epoch; a source without any
     words is kept once; a null source is a source of its own. Every row is drawn
-    for itself, also where it repeats another or has no id. Columns of the new
-    names already there are replaced. The rows are written once, so that all steps
-    agree on them.
+    for itself, also where it repeats another or has no id. Equal tables give equal
+    mixtures, in whatever order their rows come (rows that differ in columns of maps
+    alone count as equal there). Columns of the new names already there are
+    replaced. The rows are written once, so that all steps agree on them.
     """
     spark, own = docs.sparkSession, [c for c in docs.columns if c not in ("epoch", "repeats", "mix_key")]
-    base = durable(docs.select(*own, _key(F.col("source")).alias("_mix_s"), word_count(F.col("text")).alias("_mix_n"), F.monotonically_increasing_id().alias("_mix_uid")))
+    content = F.xxhash64(*(c for c in own if "map<" not in docs.schema[c].dataType.simpleString()))
+    added = {"_mix_s": _key(F.col("source")), "_mix_n": word_count(F.col("text")), "_mix_hash": content, "_mix_row": F.monotonically_increasing_id()}
+    base = _numbered(durable(docs.select(*own, *(c.alias(name) for name, c in added.items()))))
     sources = durable(base.groupBy(F.col("_mix_s").alias("s")).agg(F.sum("_mix_n").alias("n")))
     few = sources.count() <= MAX_SOURCES
     if few:

@@ -156,6 +156,22 @@ def test_mixing_meets_quotas_exactly(spark, monkeypatch, few):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixture_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 40)), None, rng.choice("abc"), 1) for k in range(900)]
+    rows += [rows[7]] * 700 + [(None, "w w w", None, "b", 1)] * 60 + [(None, None, None, None, None)] * 9
+    df = spark.createDataFrame(rows, DOCS).withColumn("nth", F.lit("clash")).withColumn("count", F.lit(3))
+    found = []
+    for parts, seed in ((1, 0), (5, 1), (13, 2)):
+        dealt = df.orderBy(F.rand(seed)).repartition(parts)
+        out = mixing.mix(dealt, budget=9000, target_entropy=0.99)
+        assert out.columns == [*df.columns, "epoch", "repeats", "mix_key"]
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] == found[2]
+    copies = [r.mix_key for r in out.where("doc_id = 7").collect() if r.mix_key < math.nextafter(1.0, 0.0)]
+    assert len(copies) > 50 and len(set(copies)) == len(copies)  # equal rows have places of their own
+
+
 def test_blocks_are_permuted(spark):
     n = 1 << mixing.BLOCK_BITS
     blocks = spark.range(n).crossJoin(spark.range(5).select(F.xxhash64("id").alias("key")))
