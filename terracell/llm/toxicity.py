@@ -98,7 +98,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
-        _LAST[:] = [None, None]  # a new model is in the making
+        _LAST[:] = _SCORED[:] = [None, None]  # a new model is in the making
         total = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             text = "\n".join(t.decode("utf-8", "replace") for t in texts(b.column(0))).lower()
@@ -249,9 +249,18 @@ class Restorer:
         found = [w for p in pieces for w in ((p,) if p.isalpha() and p.isascii() and not _RUN.search(p) else decode(p, self.model).split())]
         return tuple(dict.fromkeys([*found, *parts]))
 
+    def lowered(self, text: str) -> str:
+        return (text.translate(_INVISIBLE) if _HIDDEN.search(text) else text).lower()
+
+    def spaced(self, text: str) -> set[str]:
+        """Restored words of a lower-cased text that are written letter by letter."""
+        if not _APART.search(f" {text} "):
+            return set()
+        return {w for m in _SPACED.finditer(text) for w in decode(m.group(), self.model).split()}
+
     def words(self, text: str) -> set[str]:
-        text = (text.translate(_INVISIBLE) if _HIDDEN.search(text) else text).lower()
-        found: set[str] = set()
+        text = self.lowered(text)
+        found = self.spaced(text)
         known = self.known
         for raw in set(text.split()):
             got = known.get(raw)
@@ -260,9 +269,6 @@ class Restorer:
                     known.clear()
                 got = known[raw] = self.token(raw)
             found.update(got)
-        if _APART.search(f" {text} "):
-            for m in _SPACED.finditer(text):
-                found.update(decode(m.group(), self.model).split())
         return found
 
 
@@ -276,6 +282,16 @@ def _restorer(model: CharacterModel) -> Restorer:
     return _LAST[1]
 
 
+#: The same for the features of tokens under the scorer that this worker saw last.
+_SCORED: list = [None, None]
+
+
+def _memo(scorer: Scorer) -> dict:
+    if _SCORED[0] is not scorer:
+        _SCORED[:] = [scorer, {}]
+    return _SCORED[1]
+
+
 #: Lengths of word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 
@@ -292,16 +308,21 @@ class Scorer:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
+    def active(self, words) -> tuple[str, ...]:
+        return tuple({f for w in words for f in _features(w) if f in self.weights})
+
     def of(self, documents: list[bytes], restorer: Restorer, memo: dict) -> list[float]:
+        """Scores of whole texts; ``memo`` keeps the features of up to CACHE tokens."""
         out = []
         for t in documents:
-            active: set[str] = set()
-            for w in restorer.words(t.decode("utf-8", "replace")):
-                hit = memo.get(w)
+            text = restorer.lowered(t.decode("utf-8", "replace"))
+            active = set(self.active(restorer.spaced(text)))
+            for raw in set(text.split()):
+                hit = memo.get(raw)
                 if hit is None:
                     if len(memo) >= CACHE:
                         memo.clear()
-                    hit = memo[w] = tuple(f for f in _features(w) if f in self.weights)
+                    hit = memo[raw] = self.active(restorer.token(raw))
                 if hit:
                     active.update(hit)
             z = self.bias + sum(self.weights[f] for f in sorted(active))
@@ -384,7 +405,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
 
     def run(batches):
         model = shared.value
-        restorer, memo = _restorer(model.language), {}
+        restorer, memo = _restorer(model.language), _memo(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.of(texts(b.column(at)), restorer, memo), pa.float64())], names=[*b.schema.names, column])
 
