@@ -6,18 +6,20 @@ import heapq
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.errors import PlatformError, SegmentationError
 from terracell.frame import PointFrame
 from terracell.operators.raster import moving
-from terracell.plans.components import connected_components
 from terracell.plans.blocks import sweep, to_blocks, to_cells
+from terracell.plans.components import connected_components
+from terracell.plans.density import HALO, cell_edge, clusters
 from terracell.plans.durable import discard, durable
 from terracell.plans.grid import GridSpec
-from terracell.plans.neighbours import radius_pairs
 from terracell.plans.numbering import numbered
+from terracell.plans.tiles import Tiling, arrays, by_tile, finite
 
 
 def cluster_dbscan(cloud: PointFrame, eps: float, min_samples: int = 10, use_2d: bool = False) -> DataFrame:
@@ -25,16 +27,36 @@ def cluster_dbscan(cloud: PointFrame, eps: float, min_samples: int = 10, use_2d:
     if eps <= 0 or min_samples < 1:
         raise SegmentationError("eps and min_samples are positive")
     cloud.nonempty(SegmentationError)
-    pairs = durable(radius_pairs(cloud.df, cloud.df, eps, "xy" if use_2d else "xyz").select("a_pid", "b_pid"))
-    core = durable(pairs.groupBy(F.col("a_pid").alias("pid")).count().where(F.col("count") >= min_samples).select("pid"))
-    reach = pairs.join(core.withColumnRenamed("pid", "b_pid"), "b_pid", "left_semi")  # (any point, core point)
-    between = reach.where("a_pid < b_pid").join(core.withColumnRenamed("pid", "a_pid"), "a_pid", "left_semi")
-    joined = connected_components(between, "a_pid", "b_pid")
-    root = durable(core.join(joined.withColumnRenamed("node", "pid"), "pid", "left").select("pid", F.coalesce("root", "pid").alias("root")))
+    axes = "xy" if use_2d else "xyz"
+    placed, lost = cloud.df.where(finite(axes)), cloud.df.where(~finite(axes)).select("pid", F.lit(-1).alias("label"))
+    tiling = Tiling.of(placed, axes, cell_edge(eps, len(axes)), HALO)
+    if tiling is None:
+        return lost
+
+    def run(tile: int, rows: pa.Table) -> pa.Table:
+        pid, p = rows.column("pid").to_numpy(), arrays(rows, list(axes))
+        units = tiling.units(p)
+        if tiling.owned(units, tile).any():
+            found, (a, b) = clusters(pid, p, units, lambda u: tiling.owned(u, tile), eps, min_samples)
+        else:
+            found, (a, b) = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)), (np.zeros(0, np.int64),) * 2
+        node = pa.array(np.concatenate([found[1], a]), mask=np.concatenate([found[1] < 0, np.zeros(len(a), bool)]) if len(found[1]) + len(a) else None)
+        kind = np.concatenate([found[2].astype(np.int32), np.full(len(a), 2, np.int32)])
+        return pa.table({"pid": np.concatenate([found[0], b]), "node": node, "kind": kind}, schema=_FOUND)
+
+    # (pid, node, kind): 0 a core point or noise, 1 a border point and a cluster that reaches it, 2 an edge between nodes.
+    found = durable(by_tile(tiling.dealt(placed.select("pid", *axes)), run, "pid long, node long, kind int"))
+    joined = connected_components(found.where("kind = 2"), "pid", "node")
+    nodes = found.where("kind < 2 and node is not null").select("node").distinct()
+    root = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     number = numbered(root.select("root").distinct(), "root", "label").withColumn("label", F.col("label").cast("int"))
-    labelled = durable(root.join(number, "root").select("pid", "label"))
-    of = reach.join(labelled.withColumnRenamed("pid", "b_pid"), "b_pid").groupBy(F.col("a_pid").alias("pid")).agg(F.min("label").alias("label"))
-    return cloud.df.select("pid").join(of, "pid", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    of = durable(root.join(number, "root").select("node", "label"))
+    inside = found.where("kind = 0").join(of, "node", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    border = found.where("kind = 1").join(of, "node").groupBy("pid").agg(F.min("label").alias("label"))
+    return inside.unionByName(border).unionByName(lost)
+
+
+_FOUND = pa.schema([("pid", pa.int64()), ("node", pa.int64()), ("kind", pa.int32())])
 
 
 def tree_grid(cloud: PointFrame, resolution: float, max_raster_size: int | None) -> GridSpec:
