@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from terracell.errors import RegistrationError, ValidationError
 from terracell.frame import PointFrame
 from terracell.operators.shape import neighbourhoods
-from terracell.plans.durable import durable
+from terracell.plans.durable import discard, durable
 from terracell.plans.neighbours import nearest_within
+from terracell.plans.search import Tree
+from terracell.plans.tiles import Tiling, arrays, finite
 
 BINS = 11
 
@@ -71,9 +74,8 @@ def rodrigues(r: np.ndarray) -> np.ndarray:
     return np.eye(3) + math.sin(angle) * k + (1 - math.cos(angle)) * k @ k
 
 
-def _pairs(source: DataFrame, target: DataFrame, transform: np.ndarray, reach: float, normals: bool) -> DataFrame:
-    keep = ("pid", "x", "y", "z", *(("nx", "ny", "nz") if normals else ()))
-    return nearest_within(transformed(source, transform), target, reach, keep_a=("pid", "x", "y", "z"), keep_b=keep)
+def _pairs(source: DataFrame, target: DataFrame, transform: np.ndarray, reach: float) -> DataFrame:
+    return nearest_within(transformed(source, transform), target, reach)
 
 
 def _centre(target: DataFrame) -> np.ndarray:
@@ -81,37 +83,102 @@ def _centre(target: DataFrame) -> np.ndarray:
     return np.array(row, float)
 
 
+def _moved(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``transformed`` of an array, operation by operation."""
+    return np.stack([p[:, 0] * m[i, 0] + p[:, 1] * m[i, 1] + p[:, 2] * m[i, 2] + m[i, 3] for i in range(3)], axis=1)
+
+
+class _Dealt:
+    """Source and target in tiles, a row a tile, dealt for one transform and good for those that move no source point over half the reach from it.
+
+    An iteration reads the rows and shuffles nothing.
+    """
+
+    def __init__(self, source: DataFrame, target: DataFrame, box: tuple[np.ndarray, np.ndarray], reach: float, plane: bool):
+        names = ["x", "y", "z", *(("nx", "ny", "nz") if plane else ())]
+        self.source, self.target = source.where(finite("xyz")), target.where(finite("xyz")).select("pid", *names)
+        self.corners = np.array(list(itertools.product(*zip(*box, strict=True))))
+        self.reach, self.plane, self.at, self.rows = reach, plane, None, None
+
+    def _deal(self, t: np.ndarray) -> None:
+        self.discard()
+        placed = transformed(self.source.select("x", "y", "z", *(F.col(c).alias(f"o{c}") for c in "xyz")), t)
+        tiling = Tiling.of(placed.select("x", "y", "z").unionAll(self.target.select("x", "y", "z")), "xyz", self.reach * 1.5 * (1 + 1e-9), rows=TILE_POINTS)
+        names = self.target.columns
+        left = tiling.home(placed).select("tile", F.lit(None).cast("long").alias("pid"), *(F.col(f"o{c}").alias(c) for c in "xyz"), *(F.lit(None).cast("double").alias(c) for c in names[4:]))
+        right = tiling.dealt(self.target).select("tile", "pid", *names[1:])
+
+        def pack(rows: pa.Table) -> pa.Table:
+            ours = rows.column("pid").is_null().to_numpy()
+            s, t = rows.filter(pa.array(ours)), rows.filter(pa.array(~ours))
+            some = len(s) and len(t)
+            return pa.table({"s": [arrays(s, ["x", "y", "z"]).tobytes()], "pid": [t.column("pid").to_numpy().astype(np.int64).tobytes()], "t": [arrays(t, names[1:]).tobytes()]} if some else {"s": [], "pid": [], "t": []}, schema=pa.schema([(c, pa.binary()) for c in ("s", "pid", "t")]))
+
+        self.rows = durable(left.unionAll(right).groupBy("tile").applyInArrow(pack, "s binary, pid binary, t binary"))
+        self.at = t
+
+    def sums(self, t: np.ndarray, f, n: int) -> np.ndarray:
+        """The sums of ``f(source, target, d2)``, n numbers, over the pairs of each source point, moved, and its nearest target point within reach."""
+        if self.at is None or np.sqrt(((_moved(self.corners, t) - _moved(self.corners, self.at)) ** 2).sum(1)).max() > 0.5 * self.reach:
+            self._deal(t)
+        reach, width = self.reach, 6 if self.plane else 3
+
+        def run(batches):
+            for b in batches:
+                for k in range(b.num_rows):
+                    s, pid, to = (np.frombuffer(b.column(i)[k].as_py(), d) for i, d in enumerate((float, np.int64, float)))
+                    s, to = _moved(s.reshape(-1, 3), t), to.reshape(-1, width)
+                    tree = Tree(to[:, :3], pid)
+                    point, d2 = tree.nearest(s, reach)
+                    has = point >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in f(s[has], to[tree.order[point[has]]], d2[has])], names=[f"v{i}" for i in range(n)])
+
+        found = self.rows.select("s", "pid", "t").mapInArrow(run, ", ".join(f"v{i} double" for i in range(n)))
+        return np.array([v or 0.0 for v in found.agg(*(F.sum(f"v{i}") for i in range(n))).first()], float)
+
+    def discard(self) -> None:
+        if self.rows is not None:
+            discard(self.rows)
+
+
+#: Points of a tile of an alignment, which is one row.
+TILE_POINTS = 50_000
+
+
 def _icp(source: PointFrame, target: PointFrame, reach: float, max_iterations: int, tolerance: float, init, plane: bool) -> Registration:
-    """One job an iteration: the nearest-neighbour join and one row of sums. Coordinates are taken from the target's centre."""
+    """One job an iteration: the nearest neighbours, tile by tile, and one row of sums. Coordinates are taken from the target's centre."""
     if reach <= 0 or max_iterations < 1:
         raise ValidationError("distance and iterations are positive")
     n = source.nonempty().n
-    target.nonempty()
     init = matrix4(init)
     if plane:
         target.require("nx", "ny", "nz")
-    c = _centre(target.df)
+    held = durable(target.df.select("pid", "x", "y", "z", *(("nx", "ny", "nz") if plane else ())))
+    target.with_df(held).nonempty()
+    c = _centre(held)
     to_centre, back = np.eye(4), np.eye(4)
     to_centre[:3, 3], back[:3, 3] = -c, c
-    src = durable(transformed(source.df.select("pid", "x", "y", "z"), to_centre))
-    tgt = durable(transformed(target.df.select("pid", "x", "y", "z", *(("nx", "ny", "nz") if plane else ())), to_centre))
+    src = durable(transformed(source.df.select("x", "y", "z"), to_centre))
+    ends = src.where(finite("xyz")).agg(*(f(k) for f in (F.min, F.max) for k in "xyz")).first()
+    if ends[0] is None:
+        raise RegistrationError(f"0 correspondences within {reach}")
+    dealt = _Dealt(src, transformed(held, to_centre), (np.array(ends[:3], float), np.array(ends[3:], float)), reach, plane)
     t = to_centre @ init @ back
     least, done, used = (6 if plane else 3), False, 0
+
+    def planes(s, g, d2):
+        off, normal = g[:, :3] - s, g[:, 3:]
+        a = np.column_stack([np.cross(s, normal), normal])
+        return [len(s), *(a.T @ a)[np.triu_indices(6)], *(a.T @ (off * normal).sum(1))]
+
+    def points(s, g, d2):
+        return [len(s), *s.sum(0), *g.sum(0), *(s.T @ g).ravel()]
+
     for used in range(1, max_iterations + 1):
-        pairs = _pairs(src, tgt, t, reach, plane)
-        s, g = [F.col(f"s{k}") for k in "xyz"], [F.col(f"b_{k}") for k in "xyz"]
-        pairs = pairs.withColumns({f"s{k}": F.col(f"b_{k}") - F.col(f"d{k}") for k in "xyz"})
-        if plane:
-            nx, ny, nz = (F.col(f"b_n{k}") for k in "xyz")
-            a = {"a0": s[1] * nz - s[2] * ny, "a1": s[2] * nx - s[0] * nz, "a2": s[0] * ny - s[1] * nx, "a3": nx, "a4": ny, "a5": nz, "b": F.col("dx") * nx + F.col("dy") * ny + F.col("dz") * nz}
-            pairs = pairs.withColumns(a)
-            sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")) for i in range(6) for j in range(i, 6)] + [F.sum(F.col(f"a{i}") * F.col("b")) for i in range(6)]
-        else:
-            sums = [F.sum(e) for e in (*s, *g)] + [F.sum(e * f) for e in s for f in g]
-        row = list(pairs.agg(F.count("*"), *sums).first())
+        row = dealt.sums(t, planes if plane else points, 28 if plane else 16)
         if row[0] < least:
-            raise RegistrationError(f"{row[0]} correspondences within {reach}")
-        v = np.array(row[1:], float)
+            raise RegistrationError(f"{int(row[0])} correspondences within {reach}")
+        v = row[1:]
         step = np.eye(4)
         if plane:
             m = np.zeros((6, 6))
@@ -126,7 +193,9 @@ def _icp(source: PointFrame, target: PointFrame, reach: float, max_iterations: i
         if np.linalg.norm(t - before) < tolerance:
             done = True
             break
-    k, d2 = _pairs(src, tgt, t, reach, False).agg(F.count("*"), F.sum("d2")).first()
+    k, d2 = dealt.sums(t, lambda s, g, d2: [len(s), d2.sum()], 2).tolist()
+    dealt.discard()
+    discard(src, held)
     return Registration(back @ t @ to_centre, k / n, math.sqrt(d2 / k) if k else 0.0, done, used)
 
 
@@ -269,7 +338,7 @@ def ransac_registration(source: PointFrame, target: PointFrame, source_features:
     sums = on.agg(*(F.avg(c).alias(c) for c in columns), *(F.covar_pop(f"s{a}", f"t{b}").alias(f"{a}{b}") for a in "xyz" for b in "xyz")).first()
     h = np.array([[sums[f"{a}{b}"] for b in "xyz"] for a in "xyz"])
     m = kabsch(h, np.array([sums[f"s{c}"] for c in "xyz"]), np.array([sums[f"t{c}"] for c in "xyz"]))
-    k, d2 = _pairs(source.df, target.df, m, max_correspondence_distance, False).agg(F.count("*"), F.sum("d2")).first()
+    k, d2 = _pairs(source.df, target.df, m, max_correspondence_distance).agg(F.count("*"), F.sum("d2")).first()
     return Registration(m, k / n, math.sqrt(d2 / k) if k else 0.0, bool(sure), tried)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Points of a leaf by and large, and pairs that are held at once.
-LEAF, PAIRS = 4, 1_000_000
+LEAF, PAIRS = 2, 1_000_000
 
 
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ class Tree:
         step = 20_000
         for i in range(0, len(q), step):
             rows = order[i : i + step]
-            limit = self._limits(q[rows], 1, 4, reach * reach)
+            limit = self._limits(q[rows], 1, 8, reach * reach)
             which, point, d2 = self._near(q[rows], limit, True)
             if not len(which):
                 continue

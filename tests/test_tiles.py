@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terracell.operators import cluster
+from terracell.operators import cluster, registration
 from terracell.plans import density, neighbours, tiles
 from terracell.sources.formats import from_arrays
-from test_neighbourhoods import plain_dbscan
+from test_neighbourhoods import distances, plain_dbscan
 
 
 def no_pairs(*args, **kwargs):
@@ -33,3 +33,52 @@ def test_points_without_a_place_are_noise(spark):
     c = from_arrays(spark, [[0, 0, 0], [0.1, 0, 0], [5, 5, 5], [np.nan, 0, 0], [np.inf, 0, 0]])
     c = c.with_df(c.df.withColumn("x", F.when(F.col("pid") != 2, F.col("x"))))
     assert {r.pid: r.label for r in cluster.cluster_dbscan(c, 1.0, 1).collect()} == {0: 0, 1: 0, 2: -1, 3: -1, 4: -1}
+
+
+@pytest.mark.parametrize("axes", ["xyz", "xy"])
+def test_nearest_by_tiles_makes_no_pairs(spark, monkeypatch, axes):
+    monkeypatch.setattr(tiles, "ROWS", 60)
+    monkeypatch.setattr(neighbours, "radius_pairs", no_pairs)
+    rng = np.random.default_rng(4)
+    p, q = np.round(rng.random((400, 3)) * [20, 20, 5], 1), np.round(rng.random((300, 3)) * [24, 24, 5] - 2, 1)
+    got = {r.a_pid: (r.b_pid, r.d2, r.b_z, r.dx) for r in neighbours.nearest_within(from_arrays(spark, q).df, from_arrays(spark, p).df, 0.9, axes, keep_b=("z",)).collect()}
+    k = len(axes)
+    d = sum((p[None, :, i] - q[:, None, i]) ** 2 for i in range(k))
+    want = {i: (int(j), d[i, j], p[j, 2], p[j, 0] - q[i, 0]) for i, j in enumerate(d.argmin(1)) if d[i, j] <= 0.9 * 0.9}
+    assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize("method", ["point_to_point", "point_to_plane"])
+def test_icp_by_tiles_makes_no_pairs(spark, monkeypatch, method):
+    """Far enough for tiles to be dealt again; each iteration's pairs are those of brute force."""
+    monkeypatch.setattr(registration, "TILE_POINTS", 60)
+    monkeypatch.setattr(neighbours, "radius_pairs", no_pairs)
+    rng = np.random.default_rng(6)
+    p = rng.random((500, 3)) * [12, 12, 4]
+    n = rng.normal(size=p.shape)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    target = from_arrays(spark, p, nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
+    s = p + [0.5, -0.4, 0.3]
+    deals, deal = [], registration._Dealt._deal
+    monkeypatch.setattr(registration._Dealt, "_deal", lambda self, t: (deals.append(1), deal(self, t)))
+    found = registration.icp(from_arrays(spark, s), target, 1.0, 12, 1e-9, method=method)
+    t = np.eye(4)
+    for _ in range(found.n_iterations):
+        x = s @ t[:3, :3].T + t[:3, 3]
+        d2 = distances(x, p)
+        near, has = d2.argmin(1), d2.min(1) <= 1
+        x, g, m = x[has], p[near[has]], n[near[has]]
+        step = np.eye(4)
+        if method == "point_to_point":
+            step = registration.fit_pairs(x, g)
+        else:
+            c = p.mean(0)
+            a = np.column_stack([np.cross(x - c, m), m])
+            v = np.linalg.lstsq(a, ((g - x) * m).sum(1), rcond=None)[0]
+            step[:3, :3] = registration.rodrigues(v[:3])
+            step[:3, 3] = v[3:] + c - step[:3, :3] @ c
+        t = step @ t
+    x = s @ t[:3, :3].T + t[:3, 3]
+    d2 = distances(x, p).min(1)
+    assert np.abs(found.transform - t).max() < 1e-6 and found.fitness == (d2 <= 1).mean() and found.inlier_rmse == pytest.approx(np.sqrt(d2[d2 <= 1].mean()))
+    assert len(deals) > 1
