@@ -10,10 +10,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terracell.plans.durable import durable
+from terracell.plans.search import Tree
+from terracell.plans.tiles import Tiling, arrays, by_tile, finite
 
 
 def cell(axis: Column, edge: float) -> Column:
@@ -54,11 +60,36 @@ def radius_pairs(a: DataFrame, b: DataFrame, r: float, axes: str = "xyz", keep_a
 
 
 def nearest_within(a: DataFrame, b: DataFrame, r: float, axes: str = "xyz", keep_a: tuple = ("pid",), keep_b: tuple = ("pid",)) -> DataFrame:
-    """For each row of a that has one, b's nearest row within r (ties: lowest pid); aggregated map-side."""
-    pairs = radius_pairs(a, b, r, axes, keep_a, tuple(dict.fromkeys(("pid", *keep_b))))
-    others = [c for c in pairs.columns if c != "a_pid"]
-    best = pairs.groupBy("a_pid").agg(F.min_by(F.struct(*others), F.struct("d2", "b_pid")).alias("m"))
-    return best.select("a_pid", "m.*")
+    """For each row of a that has one, b's nearest row within r (ties: lowest pid); searched tile by tile, so no pairs are made."""
+    keep_b = tuple(dict.fromkeys(("pid", *keep_b)))
+    places = [F.col(c).cast("double").alias(c) for c in axes]
+    asked = a.where(finite(axes)).select(*places, *(F.col(c).alias(f"a_{c}") for c in keep_a))
+    given = b.where(finite(axes)).select(*places, *(F.col(c).alias(f"b_{c}") for c in keep_b))
+    kinds = {**{f"a_{c}": asked.schema[f"a_{c}"] for c in keep_a}, **{f"b_{c}": given.schema[f"b_{c}"] for c in keep_b}}
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in kinds.items()] + [T.StructField(n, T.DoubleType()) for n in ("d2", *(f"d{c}" for c in axes))])
+    tiling = Tiling.of(asked.select(*axes).unionAll(given.select(*axes)), axes, r * (1 + 1e-9))
+    if tiling is None:
+        return a.sparkSession.createDataFrame([], schema)
+    shape = to_arrow_schema(schema)
+    whole = [*axes, *kinds]
+    left, right = tiling.home(asked), tiling.dealt(given)
+    sides = [d.select("tile", F.lit(k).alias("side"), *(F.col(n) if n in d.columns else F.lit(None).cast(kinds[n].dataType).alias(n) for n in whole)) for k, d in ((0, left), (1, right))]
+
+    def run(tile: int, rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        q, p = (rows.filter(pa.array(side == k)) for k in (0, 1))
+        if not len(q) or not len(p):
+            return shape.empty_table()
+        x, y = arrays(q, list(axes)), arrays(p, list(axes))
+        tree = Tree(y, p.column("b_pid").to_numpy())
+        point, d2 = tree.nearest(x, r)
+        has = np.flatnonzero(point >= 0)
+        of = tree.order[point[has]]
+        out = {**{f"a_{c}": q.column(f"a_{c}").take(has) for c in keep_a}, **{f"b_{c}": p.column(f"b_{c}").take(of) for c in keep_b}, "d2": d2[has]}
+        off = y[of] - x[has]
+        return pa.table({**out, **{f"d{c}": off[:, k] for k, c in enumerate(axes)}}).cast(shape)
+
+    return by_tile(sides[0].unionAll(sides[1]), run, schema)
 
 
 def nearest_k(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz", keep_a: tuple = ("pid",), keep_b: tuple = ("pid",), edge: float | None = None) -> DataFrame:
