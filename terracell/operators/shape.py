@@ -2,24 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.errors import FeatureError, ValidationError
 from terracell.frame import PointFrame
-from terracell.functions.eigen import covariance, eigenvalues, least_vector, moment_sums
+from terracell.functions.eigen import PAIRS, covariance, eigenvalues, least_vector, moment_sums
+from terracell.plans.durable import durable
 from terracell.plans.neighbours import nearest_k, radius_pairs
+from terracell.plans.search import Tree
+from terracell.plans.tiles import Tiling, arrays, by_tile, finite
 
 FEATURES = ("linearity", "planarity", "sphericity", "omnivariance", "anisotropy", "eigenentropy", "curvature")
 
 
-def neighbourhoods(queries: DataFrame, cloud: DataFrame, radius: float, max_nn: int | None = None) -> DataFrame:
-    """Pairs within the radius, self included; only the ``max_nn`` closest of a point (ties: lowest pid)."""
-    pairs = radius_pairs(queries, cloud, radius)
+def neighbourhoods(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
+    """Pairs within the radius, self included."""
+    return radius_pairs(queries, cloud, radius)
+
+
+def moments(queries: DataFrame, cloud: DataFrame, radius: float, max_nn: int | None = None) -> DataFrame:
+    """(pid, n, s_x ... s_zz) of each query's neighbourhood, self included; only the ``max_nn`` closest points (ties: lowest pid). Queries without any neighbour are missing."""
     if max_nn is None:
-        return pairs
-    near = Window.partitionBy("a_pid").orderBy("d2", "b_pid")
-    return pairs.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= max_nn).drop("_n")
+        return neighbourhoods(queries, cloud, radius).groupBy(F.col("a_pid").alias("pid")).agg(*moment_sums())
+    names = ["n", *(f"s_{c}" for c in "xyz"), *(f"s_{p}" for p in PAIRS)]
+    asked, given = (d.where(finite("xyz")).select("pid", *(F.col(c).cast("double").alias(c) for c in "xyz")) for d in (queries, cloud))
+    ddl = "pid long, n long, " + ", ".join(f"{n} double" for n in names[1:])
+    done, reach = cloud.sparkSession.createDataFrame([], ddl), min(radius, spacing(given, max_nn))
+    while True:
+        tiling = Tiling.of(asked.unionAll(given), "xyz", reach * (1 + 1e-9))
+        if tiling is None:
+            return done
+        left, right = tiling.home(asked).withColumn("side", F.lit(0)), tiling.dealt(given).withColumn("side", F.lit(1))
+        found = durable(by_tile(left.unionAll(right), partial(_moments, max_nn=max_nn, reach=reach, last=reach >= radius, names=names), ddl + ", x double, y double, z double"))
+        done = done.unionByName(found.where("x is null").drop("x", "y", "z"))
+        asked = found.where("x is not null").select("pid", "x", "y", "z")
+        if reach >= radius or asked.isEmpty():
+            return done
+        reach = min(radius, 3 * reach)
+
+
+def _moments(tile: int, rows: pa.Table, max_nn: int, reach: float, last: bool, names: list[str]) -> pa.Table:
+    """Moments of the tile's queries and, with their place, those of which more may lie beyond reach."""
+    own = rows.column("side").to_numpy() == 0
+    q, p = (rows.filter(pa.array(k)) for k in (own, ~own))
+    pid, x = q.column("pid").to_numpy(), arrays(q, ["x", "y", "z"])
+    parts, short = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * (len(names) - 1)], np.ones(len(pid), bool)
+    if len(q) and len(p):
+        tree = Tree(arrays(p, ["x", "y", "z"]), p.column("pid").to_numpy())
+        for some, which, point, _ in tree.closest(x, max_nn, reach):
+            n = np.bincount(which, minlength=len(some))
+            full = n > 0 if last else n == max_nn
+            d = tree.p[point] - x[some][which]
+            sums = [np.bincount(which, v, minlength=len(some))[full] for v in (*d.T, *(d[:, "xyz".index(a)] * d[:, "xyz".index(b)] for a, b in PAIRS))]
+            parts.append([pid[some[full]], n[full], *sums])
+            short[some[full]] = False
+    out = dict(zip(["pid", *names], (np.concatenate(v) for v in zip(*parts, strict=True)), strict=True))
+    table = pa.table({**out, **{c: pa.nulls(len(out["pid"]), pa.float64()) for c in "xyz"}})
+    if last or not short.any():
+        return table
+    left = pa.table({"pid": pid[short], **{c: x[short, k] for k, c in enumerate("xyz")}})
+    return pa.concat_tables([table, left.select(["pid", *"xyz"])], promote_options="default")
+
+
+def spacing(cloud: DataFrame, k: int) -> float:
+    """About how far the k-th nearest of evenly spread points would be."""
+    ends = cloud.agg(F.count("*").alias("n"), *(f(c) for c in "xyz" for f in (F.min, F.max))).first()
+    if not ends.n:
+        return math.inf
+    sides = [max(ends[2 * k + 2] - ends[2 * k + 1], 0.0) for k in range(3)]
+    flat = [s for s in sides if s > 1e-6 * max(sides)]
+    return (math.prod(flat) * k / ends.n) ** (1 / len(flat)) if flat else math.inf
 
 
 def auto_radius(cloud: PointFrame) -> float:
@@ -30,7 +88,7 @@ def auto_radius(cloud: PointFrame) -> float:
 
 def normals_at(queries: DataFrame, cloud: DataFrame, radius: float, max_nn: int | None = None) -> DataFrame:
     """(pid, n, nx, ny, nz) by PCA; queries without any neighbour are missing. Under three neighbours: (0, 0, 1)."""
-    sums = neighbourhoods(queries, cloud, radius, max_nn).groupBy(F.col("a_pid").alias("pid")).agg(*moment_sums())
+    sums = moments(queries, cloud, radius, max_nn)
     found = least_vector(eigenvalues(covariance(sums), clamp=False))
     few = F.col("n") < 3
     return found.select("pid", "n", F.when(few, 0.0).otherwise(F.col("nx")).alias("nx"), F.when(few, 0.0).otherwise(F.col("ny")).alias("ny"), F.when(few, 1.0).otherwise(F.col("nz")).alias("nz"))
@@ -62,7 +120,7 @@ def geometric_features(cloud: PointFrame, radius: float, max_nn: int | None = 30
         raise ValidationError("the radius is positive")
     if cloud.nonempty(FeatureError).n < 3:
         raise FeatureError("features need three points")
-    sums = neighbourhoods(cloud.df, cloud.df, radius, max_nn).groupBy(F.col("a_pid").alias("pid")).agg(*moment_sums())
+    sums = moments(cloud.df, cloud.df, radius, max_nn)
     df = eigenvalues(covariance(sums))
     l1, l2, l3 = (F.col(k) for k in ("l1", "l2", "l3"))
     total = l1 + l2 + l3
