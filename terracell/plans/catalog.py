@@ -682,7 +682,7 @@ def _(c):
 def _written(c: PointFrame, suffix: str) -> PointFrame:
     """The cloud written to a file of the shared folder and read back."""
     spark = c.df.sparkSession
-    folder = Path(shared_folder(spark)) / "files"
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "files"  # a mounted path, as these formats are read by plain file calls
     folder.mkdir(parents=True, exist_ok=True)
     path = str(folder / f"{uuid.uuid4().hex}{suffix}")
     formats.write(c, path)

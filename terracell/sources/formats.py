@@ -7,10 +7,12 @@ takes pushdown, pruning and partitioning; the others are for exchange.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from terracell.errors import CodecError, StorageError, ValidationError
 from terracell.frame import Acquisition, PointFrame, platform_of
 from terracell.operators.filters import exact_sample
+from terracell.plans.durable import discard, durable
 
 READABLE = (".las", ".laz", ".ply", ".pcd", ".xyz", ".txt", ".csv", ".parquet")
 WRITABLE = (".las", ".laz", ".ply", ".xyz", ".txt", ".csv", ".parquet")
@@ -310,57 +313,107 @@ def tiled_metadata(spark: SparkSession, path: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_points"), *(f(c).alias(f"{c}_{f.__name__}") for c in "xyz" for f in (F.min, F.max))).withColumn("columns", F.lit(",".join(df.columns)))
 
 
-def _gathered(cloud: PointFrame, columns: list[str]):
+#: Points that a task encodes, and those of a batch of it.
+TASK_POINTS, BATCH_POINTS = 250_000, 20_000
+
+
+def _encoded(cloud: PointFrame, columns: list[str], path: str, head: bytes, encode: Callable[[dict[str, np.ndarray]], bytes]) -> None:
+    """A file of ``head`` and of every point, by pid, as ``encode`` makes bytes of columns.
+
+    Executors sort and encode; the driver holds one batch's bytes at a time and appends them to the file.
+    """
     n = cloud.nonempty(StorageError).n
     if n > MAX_FILE_POINTS:
         raise StorageError(f"{n} points in one file; write Parquet or tiles")
-    return cloud.df.select("pid", *columns).orderBy("pid").toPandas()
+    parts = -(-n // TASK_POINTS)
+
+    def run(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH_POINTS):
+                rows = b.slice(at, BATCH_POINTS)
+                body = encode({c: rows.column(c).to_numpy(zero_copy_only=False) for c in columns})
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([body], pa.binary())], names=["part", "k", "body"])
+                k += 1
+
+    df = cloud.df.select("pid", *columns).repartitionByRange(parts, "pid").sortWithinPartitions("pid")
+    held = durable(df.mapInArrow(run, "part long, k long, body binary"))
+    try:
+        with open(path, "wb") as f:
+            f.write(head)
+            for part in range(parts):
+                for row in held.where(F.col("part") == part).orderBy("k").select("body").toLocalIterator():
+                    f.write(row.body)
+    finally:
+        discard(held)
+
+
+def _packed(kind: np.dtype, fill: Callable[[dict[str, np.ndarray], np.ndarray], None]) -> Callable[[dict[str, np.ndarray]], bytes]:
+    """An encoder of fixed-size records."""
+
+    def encode(p: dict[str, np.ndarray]) -> bytes:
+        out = np.zeros(len(p["x"]), kind)
+        fill(p, out)
+        return out.tobytes()
+
+    return encode
 
 
 def _write_las(cloud: PointFrame, path: str) -> None:
     rgb = cloud.has("red")
     extra = [c for c in ("intensity", "classification", "return_number", "number_of_returns") if cloud.has(c)]
-    p = _gathered(cloud, ["x", "y", "z", *extra, *(["red", "green", "blue"] if rgb else [])])
-    kind = np.dtype(LAS_FORMATS[2 if rgb else 0])
-    out, low = np.zeros(len(p), kind), [float(p[c].min()) for c in "xyz"]
-    for c, o in zip("xyz", low, strict=True):
-        out[c.upper()] = np.round((p[c] - o) / 0.001)
-    if "intensity" in extra:
-        out["intensity"] = np.clip(p.intensity * (65535 if p.intensity.max() <= 1 else 1), 0, 65535)
-    if "classification" in extra:
-        out["classification"] = p.classification.to_numpy(int) & 31
-    one = np.ones(len(p), int)
-    number, of = (p[c].to_numpy(int) if c in extra else one for c in ("return_number", "number_of_returns"))
-    out["returns"] = np.minimum(number, 7) | np.minimum(of, 7) << 3
-    for c in ("red", "green", "blue") if rgb else ():
-        out[c] = p[c].to_numpy(int) * 257
-    ends = [v for c in "xyz" for v in (float(p[c].max()), float(p[c].min()))]
+    columns = ["x", "y", "z", *extra, *(["red", "green", "blue"] if rgb else [])]
+    kind, ends = np.dtype(LAS_FORMATS[2 if rgb else 0]), cloud.nonempty(StorageError)
+    n, low = ends.n, [float(v) for v in ends.low]
+    scale = 65535 if "intensity" in extra and cloud.df.agg(F.max("intensity")).first()[0] <= 1 else 1
+
+    def fill(p: dict[str, np.ndarray], out: np.ndarray) -> None:
+        for c, o in zip("xyz", low, strict=True):
+            out[c.upper()] = np.round((p[c] - o) / 0.001)
+        if "intensity" in extra:
+            out["intensity"] = np.clip(p["intensity"] * scale, 0, 65535)
+        if "classification" in extra:
+            out["classification"] = p["classification"].astype(int) & 31
+        one = np.ones(len(out), int)
+        number, of = (p[c].astype(int) if c in extra else one for c in ("return_number", "number_of_returns"))
+        out["returns"] = np.minimum(number, 7) | np.minimum(of, 7) << 3
+        for c in ("red", "green", "blue") if rgb else ():
+            out[c] = p[c].astype(int) * 257
+
+    bounds = [float(v) for k in range(3) for v in (ends.high[k], ends.low[k])]
     wkt = cloud.meta.crs.encode()
     record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", CRS_RECORD, len(wkt) + 1, b"WKT") + wkt + b"\0" if wkt else b""
     head = bytearray(375)
     struct.pack_into("<4sHH", head, 0, b"LASF", 0, 16 if wkt else 0)
     head[24:26] = bytes((1, 4))
-    struct.pack_into("<32s32sHHHIIBHI", head, 26, cloud.meta.scanner_model.encode()[:32], b"terracell", 1, 2000, 375, 375 + len(record), 1 if wkt else 0, 2 if rgb else 0, kind.itemsize, len(p))
-    struct.pack_into("<3d3d6d", head, 131, 0.001, 0.001, 0.001, *low, *ends)
-    struct.pack_into("<Q", head, 247, len(p))
-    Path(path).write_bytes(bytes(head) + record + out.tobytes())
+    struct.pack_into("<32s32sHHHIIBHI", head, 26, cloud.meta.scanner_model.encode()[:32], b"terracell", 1, 2000, 375, 375 + len(record), 1 if wkt else 0, 2 if rgb else 0, kind.itemsize, n)
+    struct.pack_into("<3d3d6d", head, 131, 0.001, 0.001, 0.001, *low, *bounds)
+    struct.pack_into("<Q", head, 247, n)
+    _encoded(cloud, columns, path, bytes(head) + record, _packed(kind, fill))
 
 
 def _write_ply(cloud: PointFrame, path: str) -> None:
     columns = [("x", "double"), ("y", "double"), ("z", "double")]
     columns += [(c, "double") for c in ("nx", "ny", "nz") if cloud.has(c)] + [(c, "uchar") for c in ("red", "green", "blue") if cloud.has(c)]
-    p = _gathered(cloud, [c for c, _ in columns])
-    out = np.zeros(len(p), [(c, "<" + _PLY[k]) for c, k in columns])
-    for c, _ in columns:
-        out[c] = p[c]
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(p)}", *(f"property {k} {c}" for c, k in columns), "end_header", ""]
-    Path(path).write_bytes("\n".join(head).encode() + out.tobytes())
+    n, kind = cloud.nonempty(StorageError).n, np.dtype([(c, "<" + _PLY[k]) for c, k in columns])
+
+    def fill(p: dict[str, np.ndarray], out: np.ndarray) -> None:
+        for c, _ in columns:
+            out[c] = p[c]
+
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *(f"property {k} {c}" for c, k in columns), "end_header", ""]
+    _encoded(cloud, [c for c, _ in columns], path, "\n".join(head).encode(), _packed(kind, fill))
 
 
 def _write_text(cloud: PointFrame, path: str, separator: str) -> None:
     columns = ["x", "y", "z", *(["intensity"] if cloud.has("intensity") else [])]
-    p = _gathered(cloud, columns)
-    np.savetxt(path, p[columns].to_numpy(float), fmt="%.6f", delimiter=separator, header=separator.join(columns))
+    line = separator.join(["%.6f"] * len(columns)) + "\n"
+
+    def encode(p: dict[str, np.ndarray]) -> bytes:
+        values = np.stack([p[c].astype(float) for c in columns], axis=1)
+        return (line * len(values) % tuple(values.ravel().tolist())).encode()
+
+    _encoded(cloud, columns, path, f"# {separator.join(columns)}\n".encode(), encode)
 
 
 def write_text(cloud: PointFrame, path: str, separator: str = " ") -> None:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terracell.operators import cluster, registration
+from terracell.operators import cluster, registration, shape
 from terracell.plans import density, neighbours, tiles
+from terracell.sources import formats
 from terracell.sources.formats import from_arrays
 from test_neighbourhoods import distances, plain_dbscan
 
@@ -82,3 +83,31 @@ def test_icp_by_tiles_makes_no_pairs(spark, monkeypatch, method):
     d2 = distances(x, p).min(1)
     assert np.abs(found.transform - t).max() < 1e-6 and found.fitness == (d2 <= 1).mean() and found.inlier_rmse == pytest.approx(np.sqrt(d2[d2 <= 1].mean()))
     assert len(deals) > 1
+
+
+def test_moments_of_the_closest_make_no_pairs(spark, monkeypatch):
+    """Rounds with growing reach: dense points settle first, lonely ones last."""
+    monkeypatch.setattr(tiles, "ROWS", 100)
+    monkeypatch.setattr(shape, "radius_pairs", no_pairs)
+    rng = np.random.default_rng(8)
+    p = np.vstack([rng.random((500, 3)) * [10, 10, 3], np.round(rng.random((100, 3)) * [40, 40, 3], 1), [[90, 90, 0]]])
+    c = from_arrays(spark, p)
+    rows = {r.pid: r for r in shape.moments(c.df, c.df, 5.0, 7).collect()}
+    d2 = distances(p, p)
+    assert len(rows) == len(p)
+    for k in range(len(p)):
+        near = [j for j in np.lexsort((np.arange(len(p)), d2[k])) if d2[k, j] <= 25][:7]
+        d = p[near] - p[k]
+        assert rows[k].n == len(near) and rows[k].s_x == pytest.approx(d[:, 0].sum()) and rows[k].s_yz == pytest.approx((d[:, 1] * d[:, 2]).sum())
+
+
+@pytest.mark.parametrize("suffix", [".las", ".ply", ".xyz"])
+def test_files_are_written_without_gathering_the_points(spark, monkeypatch, tmp_path, suffix):
+    monkeypatch.setattr(formats, "TASK_POINTS", 300)
+    monkeypatch.setattr(formats, "BATCH_POINTS", 70)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", no_pairs)
+    p = np.round(np.random.default_rng(1).random((1000, 3)) * 50, 2)
+    path = str(tmp_path / f"cloud{suffix}")
+    formats.write(from_arrays(spark, p), path)
+    rows = formats.read(spark, path).df.orderBy("pid").select("x", "y", "z").collect()
+    assert np.allclose(np.array(rows, float), p, atol=1e-6)
