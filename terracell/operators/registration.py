@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from terracell.errors import RegistrationError, ValidationError
 from terracell.frame import PointFrame
-from terracell.operators.shape import neighbourhoods
 from terracell.plans.durable import discard, durable
 from terracell.plans.neighbours import nearest_within
-from terracell.plans.search import Tree
-from terracell.plans.tiles import Tiling, arrays, finite
+from terracell.plans.search import PAIRS, Tree, distance2, spread
+from terracell.plans.tiles import Tiling, arrays, by_tile, finite
 
 BINS = 11
 
@@ -223,39 +222,87 @@ def compute_fpfh(cloud: PointFrame, radius: float, max_nn: int = 100) -> DataFra
     if radius <= 0:
         raise ValidationError("the radius is positive")
     cloud.nonempty()
-    normals = cloud.df.select("pid", "nx", "ny", "nz")
-    near = durable(neighbourhoods(cloud.df, cloud.df, radius, max_nn).where("a_pid <> b_pid").select("a_pid", "b_pid", "d2", "dx", "dy", "dz"))
-    p = near.join(normals.toDF("a_pid", "ux", "uy", "uz"), "a_pid").join(normals.toDF("b_pid", "mx", "my", "mz"), "b_pid")
-    p = p.withColumn("d", F.greatest(F.sqrt("d2"), F.lit(1e-12)))
-    p = p.withColumns({f"e{c}": F.col(f"d{c}") / F.col("d") for c in "xyz"})
-
-    def cross(a, b, out):
-        x = "xyz"
-        return {f"{out}{x[k]}": F.col(f"{a}{x[(k + 1) % 3]}") * F.col(f"{b}{x[(k + 2) % 3]}") - F.col(f"{a}{x[(k + 2) % 3]}") * F.col(f"{b}{x[(k + 1) % 3]}") for k in range(3)}
-
-    def dot(a, b):
-        return F.col(f"{a}x") * F.col(f"{b}x") + F.col(f"{a}y") * F.col(f"{b}y") + F.col(f"{a}z") * F.col(f"{b}z")
-
-    # The frame at a point: its normal u, the direction to the neighbour v, and their cross product w.
-    p = p.withColumns(cross("u", "e", "w"))
-    p = p.withColumns({"alpha": dot("w", "m"), "phi": dot("e", "u"), "theta": F.atan2(dot("w", "m"), dot("e", "m"))})
-
-    def binned(angle: str, low: float, high: float):
-        at = F.floor((F.col(angle) - F.lit(low)) / F.lit((high - low) / BINS)).cast("int")
-        return F.when(F.col(angle).between(low, high), F.least(at, F.lit(BINS - 1)))
-
-    p = p.withColumns({"b0": binned("alpha", -1, 1), "b1": binned("phi", -1, 1), "b2": binned("theta", -math.pi, math.pi)})
-    hits = [F.count(F.when(F.col(f"b{a}") == k, 1)).alias(f"h{a * BINS + k}") for a in range(3) for k in range(BINS)]
-    counts = p.groupBy(F.col("a_pid").alias("pid")).agg(*hits)
-    wide = range(3 * BINS)
-    total = sum((F.col(f"h{k}") for k in list(wide)[1:]), F.col("h0"))
-    own = durable(counts.withColumn("_t", total).select("pid", *(F.when(F.col("_t") > 0, F.col(f"h{k}") / F.col("_t")).otherwise(0.0).alias(f"h{k}") for k in wide)))
-    all_near = neighbourhoods(cloud.df, cloud.df, radius).where("a_pid <> b_pid").select("a_pid", F.col("b_pid").alias("pid"), (1 / F.greatest(F.sqrt("d2"), F.lit(1e-12))).alias("w"))
-    around = all_near.join(own, "pid", "left").groupBy(F.col("a_pid").alias("pid")).agg(F.sum("w").alias("_w"), *((F.sum(F.col("w") * F.coalesce(f"h{k}", F.lit(0.0)))).alias(f"n{k}") for k in wide))
-    both = cloud.df.select("pid").join(own, "pid", "left").join(around, "pid", "left")
-    mixed = both.select("pid", *((F.coalesce(f"h{k}", F.lit(0.0)) + F.coalesce(F.col(f"n{k}") / F.col("_w"), F.lit(0.0))).alias(f"f{k}") for k in wide))
-    norm = sum((F.col(f"f{k}") for k in list(wide)[1:]), F.col("f0"))
-    return mixed.withColumn("_t", norm).select("pid", F.array(*(F.when(F.col("_t") > 0, F.col(f"f{k}") / F.col("_t")).otherwise(0.0) for k in wide)).alias("fpfh"))
+    given = cloud.df.select("pid", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")))
+    lost = given.where(~finite("xyz")).select("pid", F.array(*(F.lit(0.0) for _ in range(3 * BINS))).alias("fpfh"))
+    given = given.where(finite("xyz"))
+    tiling = Tiling.of(given, "xyz", radius * (1 + 1e-9), 2)  # a neighbour's neighbours lie within twice the radius
+    if tiling is None:
+        return lost
+
+    def run(tile: int, rows: pa.Table) -> pa.Table:
+        pid, p, normals = rows.column("pid").to_numpy(), arrays(rows, ["x", "y", "z"]), arrays(rows, ["nx", "ny", "nz"])
+        units = tiling.units(p)
+        own = np.flatnonzero(tiling.owned(units, tile))
+        out = np.zeros((0, 3 * BINS))
+        if len(own):
+            low, high = units[own].min(0), units[own].max(0)
+            asked = np.flatnonzero((np.maximum(np.maximum(low - units, units - high), 0).max(1)) <= 1)
+            shares = np.zeros((len(p), 3 * BINS))
+            tree = Tree(p, pid)
+            for some, which, point, d2 in tree.closest(p[asked], max_nn, radius):
+                a, b = asked[some][which], tree.order[point]
+                other = pid[a] != pid[b]
+                counts = _angles(p, normals, a[other], b[other], d2[other], which[other], len(some))
+                shares[asked[some]] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+            out = shares[own] + _around(p, shares, own, radius)
+            total = out.sum(1, keepdims=True)
+            out = np.divide(out, total, out=np.zeros_like(out), where=total > 0)
+        return pa.table({"pid": pid[own], "fpfh": pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 3 * BINS, dtype=np.int32)), pa.array(out.ravel()))})
+
+    return by_tile(tiling.dealt(given), run, "pid long, fpfh array<double>").unionByName(lost)
+
+
+def _angles(p: np.ndarray, normals: np.ndarray, a: np.ndarray, b: np.ndarray, d2: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, 33) counts of the pairs' angles, by row, in the frame of a's normal u, the direction e to b, and their cross product w."""
+    e = (p[b] - p[a]) / np.maximum(np.sqrt(d2), 1e-12)[:, None]
+    u, m = normals[a], normals[b]
+
+    def dot(x, y):
+        return x[:, 0] * y[:, 0] + x[:, 1] * y[:, 1] + x[:, 2] * y[:, 2]
+
+    w = np.stack([u[:, (k + 1) % 3] * e[:, (k + 2) % 3] - u[:, (k + 2) % 3] * e[:, (k + 1) % 3] for k in range(3)], axis=1)
+    alpha = dot(w, m)
+    out = np.zeros(n * 3 * BINS, np.int64)
+    for k, (v, low, high) in enumerate(((alpha, -1.0, 1.0), (dot(e, u), -1.0, 1.0), (np.arctan2(alpha, dot(e, m)), -math.pi, math.pi))):
+        told = (v >= low) & (v <= high)
+        at = np.minimum(np.floor((v[told] - low) / ((high - low) / BINS)).astype(np.int64), BINS - 1)
+        out += np.bincount(row[told] * 3 * BINS + k * BINS + at, minlength=len(out))
+    return out.reshape(n, 3 * BINS).astype(float)
+
+
+def _around(p: np.ndarray, shares: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    """For each own point the mean of all others' shares within the radius, by 1 / distance: cell by cell, as products of matrices."""
+    for part in (4, 2, 1):
+        at = np.floor((p - p.min(0)) / (radius * (1 + 1e-9) / part)).astype(np.int64) + part
+        dims = at.max(0) + 1 + part
+        key = (at[:, 0] * dims[1] + at[:, 1]) * dims[2] + at[:, 2]
+        if len(own) >= 16 * len(np.unique(key[own])):
+            break
+    order = np.argsort(key, kind="stable")
+    x, h, key = p[order], shares[order], key[order]
+    home = np.zeros(len(p), bool)
+    home[own] = True
+    mine = np.flatnonzero(home[order])
+    first = np.flatnonzero(np.concatenate([[True], key[mine][1:] != key[mine][:-1]]))
+    side = np.arange(-part, part + 1)
+    lines = ((side[:, None] * dims[1] + side) * dims[2]).ravel()
+    out = np.zeros((len(p), shares.shape[1]))
+    for cell in np.split(mine, first[1:]):
+        run = key[cell[0]] + lines
+        lo, hi = np.searchsorted(key, run - part), np.searchsorted(key, run + part, "right")
+        which, place = spread(hi - lo)
+        near = lo[which] + place
+        gap = np.maximum(np.maximum(x[cell].min(0) - x[near], x[near] - x[cell].max(0)), 0.0)
+        near = near[(gap * gap).sum(1) <= radius * radius * (1 + 1e-9)]
+        block = max(1, PAIRS // max(1, len(near)))
+        for i in range(0, len(cell), block):
+            some = cell[i : i + block]
+            d2 = distance2(x[near][None], x[some][:, None])
+            w = np.where(d2 <= radius * radius, 1 / np.maximum(np.sqrt(d2), 1e-12), 0.0)
+            w[np.arange(len(some)), np.searchsorted(near, some)] = 0.0
+            total = w.sum(1, keepdims=True)
+            out[order[some]] = np.divide(w @ h[near], total, out=np.zeros((len(some), h.shape[1])), where=total > 0)
+    return out[own]
 
 
 def match_descriptors(source: DataFrame, target: DataFrame, column: str = "fpfh", max_target: int = 2_000_000) -> DataFrame:

@@ -111,3 +111,31 @@ def test_files_are_written_without_gathering_the_points(spark, monkeypatch, tmp_
     formats.write(from_arrays(spark, p), path)
     rows = formats.read(spark, path).df.orderBy("pid").select("x", "y", "z").collect()
     assert np.allclose(np.array(rows, float), p, atol=1e-6)
+
+
+def test_descriptors_by_tiles_make_no_pairs(spark, monkeypatch):
+    """Over many tiles as over one; the one is held against brute force."""
+    monkeypatch.setattr(shape, "radius_pairs", no_pairs)
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random((400, 3)) * [12, 12, 3], 1)
+    n = rng.normal(size=p.shape)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    c = from_arrays(spark, p, nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
+    d2, own = distances(p, p), np.zeros((400, 33))
+    for a in range(400):
+        near = [b for b in np.lexsort((np.arange(400), d2[a])) if d2[a, b] <= 1.44][:6]
+        for b in near:
+            if a != b:
+                e = (p[b] - p[a]) / max(np.sqrt(d2[a, b]), 1e-12)
+                w = np.cross(n[a], e)
+                for k, (v, low, high) in enumerate(((w @ n[b], -1, 1), (e @ n[a], -1, 1), (np.arctan2(w @ n[b], e @ n[b]), -np.pi, np.pi))):
+                    own[a, 11 * k + min(10, int((v - low) / ((high - low) / 11)))] += 1
+    own /= np.maximum(own.sum(1, keepdims=True), 1)
+    w = np.where(d2 <= 1.44, 1 / np.maximum(np.sqrt(d2), 1e-12), 0)
+    np.fill_diagonal(w, 0)
+    want = own + w @ own / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    want /= np.maximum(want.sum(1, keepdims=True), 1e-300)
+    for rows in (100_000, 40):
+        monkeypatch.setattr(tiles, "ROWS", rows)
+        got = registration.compute_fpfh(c, 1.2, 6).orderBy("pid").collect()
+        assert len(got) == 400 and np.allclose([r.fpfh for r in got], want, atol=1e-9)
