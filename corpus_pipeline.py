@@ -34,7 +34,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: one document of each group at five-word-shingle similarity 0.8 stays."""
+    """Near-dedup: one document of each group at five-word-shingle similarity 0.8 stays; SimHash gives the first candidates, rare shingles the rest."""
     return simhash.keep_one(docs)
 
 

@@ -4,7 +4,9 @@ A text is the set of its word shingles. Put every set in one order, rarest shing
 first: two sets of n and m shingles at similarity t or more share at least one of
 their first n - ceil(t n) + 1 and m - ceil(t m) + 1 (Chaudhuri et al., 2006; Xiao
 et al., 2008). Any order is right; this one, by counts of hashed shingles, keeps
-common passages out of the prefixes. Equal sets are one node. In a few rounds every
+common passages out of the prefixes. Equal sets are one node. Where groups are given
+from elsewhere, by fingerprints, each node is first compared with its group's least;
+what no such group reaches is left to the shingles. In a few rounds every
 node is compared with one other: of the nodes that own one of its prefix shingles
 (each round another node of all that have it) the one that shares most with it. That
 joins up large groups with one pair a node and round. Then those still apart are
@@ -222,11 +224,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both) - TINY).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _with_least(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): each node of a group (key, group) and the group's least node, one pair a node at most."""
+    of = groups.groupBy("key").agg(F.min("group").alias("group"))
+    members = durable(base.select("key", "digest").distinct().join(of, "key").select("group", "digest").distinct())
+    least = members.groupBy("group").agg(F.min("digest").alias("b")).join(members, "group").where("digest <> b")
+    return least.select(F.col("digest").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, groups: DataFrame | None = None) -> DataFrame:
     """(key, component), one row for each row of ``docs``: component is the least key reachable over
     pairs of texts whose sets of ``words``-word shingles have the Jaccard similarity or more.
 
     ASCII case and spacing don't count. Null and empty texts are equal. ``docs`` is read again for each step.
+    ``groups`` (key, group) may name keys that are worth comparing first; a group links nothing by itself.
     """
     measured = durable(_measured(docs, key, text, words))
     base = measured.where("part is null")
@@ -249,6 +260,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         roots = durable(connected_components(found))
         return roots, prefixes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
+    if groups is not None:
+        links = verified(durable(_with_least(base, groups)))
+        roots, placed = placed_by(links)
     for turn in range(ROUNDS):
         found = verified(durable(_one_each(placed, turn, similarity)))
         links = found if links is None else durable(links.unionByName(found))

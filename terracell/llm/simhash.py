@@ -157,14 +157,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: exactly one row of each group stays.
 
-    Groups are texts whose word shingles reach the Jaccard similarity. No radius of a 64-bit fingerprint
-    that can be searched reaches all of those, so candidates come from shingles themselves, none left out.
-    It is the one with the smallest id; a row without an id stays only where its whole group has none.
+    Groups are texts whose word shingles reach the Jaccard similarity. The first candidates are the components
+    of fingerprints of as many words, by the grid join; they are checked exactly, as near fingerprints can be of
+    less similar texts. No radius of a 64-bit fingerprint that can be searched reaches all groups, so what
+    the fingerprints leave apart is completed by rare shingles, none left out.
+    The one that stays is the one with the smallest id; a row without an id stays only where its whole group has none.
     Equal ids are told apart by their texts, so rows of other groups never count as repeats.
     """
     key = "_key"
     keyed = docs.withColumn(key, _row_key(id_col, text_col))
-    found = shingles.near_duplicates(keyed, key, text_col, shingle_words, similarity)
+    groups = near_duplicates(keyed, key, text_col, shingle_words).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    found = shingles.near_duplicates(keyed, key, text_col, shingle_words, similarity, groups)
     keys = durable(found.where(F.col("key") == F.col("component")).groupBy(F.col("key").alias(key)).count())
     # Kept keys grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
     kept = keyed.join(keys.where("count = 1").select(key).hint("shuffle_hash"), key, "left_semi")

@@ -165,6 +165,29 @@ def test_keep_one_where_most_of_a_text_is_a_common_passage(spark):
     assert sorted(r.doc_id for r in out.collect()) == want
 
 
+def test_keep_one_starts_from_fingerprints_and_checks_them(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    bits = lambda a, b: bin((simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)) & (1 << 64) - 1).count("1")
+    near = next(t for k in range(400) if 0 < bits(" ".join(words), t := " ".join([*words[:k], "other", *words[k + 1 :]])) <= 3)
+    # One passage so often that it alone makes the fingerprint: an equal one, but most of the differing shingles are others.
+    passage, loud = "a b c d e f g".split() * 200, [[f"{c}{k}" for k in range(30)] for c in "xyz"]
+    texts = [" ".join(words), near, *(" ".join([*passage, *own]) for own in loud), " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))]
+    assert bits(texts[2], texts[3]) <= 3 < bits(texts[0], texts[5])
+    seen = []
+    started = shingles._with_least
+
+    def spied(base, groups):
+        pairs = started(base, groups)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(shingles, "_with_least", spied)
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4, 5]
+    assert seen and seen[0] >= 2  # 0 with 1, and at least one of the loud ones, which the check takes apart
+
+
 def test_simhash_of_an_empty_table_and_clashing_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = spark.createDataFrame([(1, "a b", 3, 4), (None, "a b", 5, 6)], "doc_id long, text string, fp long, component_id long")
