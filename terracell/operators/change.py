@@ -6,37 +6,74 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.errors import ChangeError, ValidationError
 from terracell.frame import PointFrame
-from terracell.operators.shape import normals_at
-from terracell.plans.durable import durable
+from terracell.functions.eigen import covariance, eigenvalues, least_vector
+from terracell.plans.columns import Columns
 from terracell.plans.grid import GridSpec
 from terracell.plans.neighbours import cell
+from terracell.plans.tiles import Tiling, arrays, by_tile, finite
 
 
-def _cylinder(core: DataFrame, cloud: DataFrame, radius: float, depth: float) -> DataFrame:
-    """(pid, along) of the cloud's points in each core point's cylinder.
+#: Points of a tile by and large, which a task holds with its halo and both epochs.
+TILE_POINTS = 50_000
+_SUMS = ["s_x", "s_y", "s_z", *(f"s_{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))]
 
-    A core point's axis is walked in steps: it is copied to the cells, of the
-    cylinder's radius, that the axis passes and to those around them, not to the
-    whole ball that holds the cylinder.
-    """
-    edge = radius
-    steps = math.ceil(depth / edge)
-    walked = core.withColumn("_s", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumns({f"_{c}": cell(F.col(c) + F.col(f"n{c}") * F.col("_s") * F.lit(edge), edge) for c in "xyz"})
-    # A point of the cylinder is within half a step and a radius of some step: under 1.5 edges, so at most 2 cells away on an axis.
-    near = F.array(*(F.lit(k).cast("long") for k in (-2, -1, 0, 1, 2)))
-    for c in "xyz":
-        walked = walked.withColumn("_o", F.explode(near)).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_o")).drop("_o")
-    asked = walked.select("pid", "x", "y", "z", "nx", "ny", "nz", "_x", "_y", "_z").distinct()
-    put = cloud.select(*(F.col(c).alias(f"p{c}") for c in "xyz"), *(cell(F.col(c), edge).alias(f"_{c}") for c in "xyz"))
-    d = {c: F.col(f"p{c}") - F.col(c) for c in "xyz"}
-    along = d["x"] * F.col("nx") + d["y"] * F.col("ny") + d["z"] * F.col("nz")
-    far = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
-    return asked.join(put, ["_x", "_y", "_z"]).select("pid", along.alias("along"), far.alias("d2")).where((F.abs("along") <= depth) & (F.col("d2") - F.col("along") * F.col("along") <= F.lit(radius * radius))).select("pid", "along")
+
+def _placed(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*names, *(F.col(c).cast("double").alias(c) for c in "xyz")).where(finite("xyz"))
+
+
+def _sides(tile: int, rows: pa.Table) -> tuple[pa.Table, list[pa.Table]]:
+    side = rows.column("side").to_numpy()
+    return rows.filter(pa.array(side == 0)), [rows.filter(pa.array(side == k)) for k in (1, 2)]
+
+
+def _normals(cores: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
+    """(pid, x, y, z, nx, ny, nz) of the core points with three neighbours or more, turned up; searched tile by tile, so no pairs are made."""
+    tiling = Tiling.of(cores.select(*"xyz").unionAll(cloud.select(*"xyz")), "xyz", radius * (1 + 1e-9), rows=TILE_POINTS)
+    parts = tiling.home(cores).select("tile", F.lit(0).alias("side"), "pid", *"xyz").unionAll(tiling.dealt(cloud).select("tile", F.lit(1), F.lit(None).cast("long"), *"xyz"))
+
+    def run(tile: int, rows: pa.Table) -> pa.Table:
+        q, (p, _) = _sides(tile, rows)
+        x, y = arrays(q, ["x", "y", "z"]), arrays(p, ["x", "y", "z"])
+        sums = Columns(y, np.arange(len(y))).balls(x, radius) if len(x) and len(y) else np.zeros((len(x), 10))
+        n = np.rint(sums[:, 0]).astype(np.int64)
+        enough = n >= 3
+        out = {"pid": q.column("pid").to_numpy()[enough], **{c: x[enough, k] for k, c in enumerate("xyz")}, "n": n[enough]}
+        return pa.table({**out, **{c: sums[enough, k + 1] for k, c in enumerate(_SUMS)}})
+
+    sums = by_tile(parts, run, "pid long, x double, y double, z double, n long, " + ", ".join(f"{c} double" for c in _SUMS))
+    found = least_vector(eigenvalues(covariance(sums), clamp=False))
+    up = F.when((F.col("nz") < 0) | (F.col("nz") == 0) & ((F.col("ny") < 0) | (F.col("ny") == 0) & (F.col("nx") < 0)), -1.0).otherwise(1.0)
+    return found.withColumn("_up", up).select("pid", *"xyz", *((F.col(f"n{c}") * F.col("_up")).alias(f"n{c}") for c in "xyz"))
+
+
+def _cylinders(core: DataFrame, clouds: tuple[DataFrame, DataFrame], radius: float, depth: float) -> DataFrame:
+    """(pid, nx, ny, nz, n1, m1, s1, n2, m2, s2): number, mean and deviation, along the normal, of both clouds' points in each core point's cylinder."""
+    tiling = Tiling.of(clouds[0].select(*"xyz").unionAll(clouds[1].select(*"xyz")), "xyz", math.hypot(radius, depth) * (1 + 1e-9), rows=2 * TILE_POINTS)
+    names = ["pid", *"xyz", "nx", "ny", "nz"]
+    parts = tiling.home(core).select("tile", F.lit(0).alias("side"), *names)
+    for k, cloud in enumerate(clouds):
+        parts = parts.unionAll(tiling.dealt(cloud).select("tile", F.lit(k + 1), F.lit(None).cast("long"), *"xyz", *(F.lit(None).cast("double") for _ in range(3))))
+
+    def run(tile: int, rows: pa.Table) -> pa.Table:
+        q, epochs = _sides(tile, rows)
+        x, normals = arrays(q, ["x", "y", "z"]), arrays(q, ["nx", "ny", "nz"])
+        out = {c: q.column(c) for c in ("pid", "nx", "ny", "nz")}
+        for k, p in enumerate(epochs, 1):
+            y = arrays(p, ["x", "y", "z"])
+            sums = Columns(y, np.arange(len(y))).cylinders(x, normals, radius, depth) if len(x) and len(y) else np.zeros((len(x), 3))
+            n = np.rint(sums[:, 0])
+            mean = sums[:, 1] / np.maximum(n, 1)
+            out |= {f"n{k}": n.astype(np.int64), f"m{k}": mean, f"s{k}": np.sqrt(np.maximum(sums[:, 2] / np.maximum(n, 1) - mean * mean, 0))}
+        return pa.table(out)
+
+    return by_tile(parts, run, "pid long, nx double, ny double, nz double, " + ", ".join(f"n{k} long, m{k} double, s{k} double" for k in (1, 2)))
 
 
 def m3c2(epoch1: PointFrame, epoch2: PointFrame, core_points: DataFrame | None = None, normal_scale: float = 1.0, projection_scale: float = 1.0, max_cylinder_depth: float = 10.0, registration_error: float = 0.0, confidence: float = 0.95) -> DataFrame:
@@ -50,20 +87,15 @@ def m3c2(epoch1: PointFrame, epoch2: PointFrame, core_points: DataFrame | None =
     if min(c.bounds.n if c.bounds else 0 for c in (epoch1, epoch2)) < 3:
         raise ChangeError("both epochs need three points")
     cores = (epoch1.df if core_points is None else core_points).select("pid", "x", "y", "z")
-    found = normals_at(cores, epoch1.df, normal_scale).where("n >= 3")
-    up = F.when((F.col("nz") < 0) | (F.col("nz") == 0) & ((F.col("ny") < 0) | (F.col("ny") == 0) & (F.col("nx") < 0)), -1.0).otherwise(1.0)
-    found = found.withColumn("_up", up).select("pid", *((F.col(f"n{c}") * F.col("_up")).alias(f"n{c}") for c in "xyz"))
-    core = durable(cores.join(found, "pid"))
-    parts = [_cylinder(core, e.df, projection_scale, max_cylinder_depth).withColumn("e", F.lit(k)) for k, e in ((1, epoch1), (2, epoch2))]
-    stats = parts[0].unionByName(parts[1]).groupBy("pid").agg(
-        *(f.alias(f"{n}{k}") for k in (1, 2) for n, f in (("n", F.count(F.when(F.col("e") == k, 1))), ("m", F.avg(F.when(F.col("e") == k, F.col("along")))), ("s", F.stddev_pop(F.when(F.col("e") == k, F.col("along"))))))
-    )
+    one, two = _placed(epoch1.df), _placed(epoch2.df)
+    stats = _cylinders(_normals(_placed(cores, "pid"), one, normal_scale), (one, two), projection_scale, max_cylinder_depth)
     both = (F.col("n1") > 0) & (F.col("n2") > 0)
-    spread = F.col("s1") * F.col("s1") / F.col("n1") + F.col("s2") * F.col("s2") / F.col("n2") + F.lit(registration_error**2)
+    spread = F.col("s1") * F.col("s1") / F.greatest("n1", F.lit(1)) + F.col("s2") * F.col("s2") / F.greatest("n2", F.lit(1)) + F.lit(registration_error**2)
     z = NormalDist().inv_cdf((1 + confidence) / 2)
-    out = cores.select("pid").join(core.select("pid", "nx", "ny", "nz"), "pid", "left").join(stats, "pid", "left")
+    out = cores.select("pid").join(stats, "pid", "left")
     out = out.withColumns({"distance": F.when(both, F.col("m2") - F.col("m1")), "lod": F.when(both, F.lit(z) * F.sqrt(spread))})
-    significant = F.coalesce(F.abs("distance") > F.col("lod"), F.lit(False))
+    # What rounding makes of equal means is no change, even where one point alone gives a lod of 0.
+    significant = F.coalesce(F.abs("distance") > F.col("lod") + F.lit(1e-12 * max_cylinder_depth), F.lit(False))
     return out.select("pid", "distance", "lod", "nx", "ny", "nz", F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n2", F.lit(0)).alias("n2"), significant.alias("significant"))
 
 

@@ -175,6 +175,40 @@ def test_m3c2(spark):
         change.m3c2(one, two, confidence=1)
 
 
+def test_balls_and_cylinders_match_brute_force():
+    from terracell.plans.columns import Columns
+
+    rng = np.random.default_rng(6)
+    flat = rng.integers(0, 800, (5000, 2)) / 100  # so that many points lie on a ball's bound
+    p = np.column_stack([flat, np.where(rng.random(5000) < 0.6, 1.0, rng.random(5000) * 9)])
+    p[:40] = p[40]
+    q = np.vstack([p[rng.choice(5000, 300)], rng.random((40, 3)) * 14 - 3])
+    v = rng.normal(size=(340, 3)) + np.where(np.arange(340)[:, None] % 2 == 0, [0.0, 0.0, 50.0], 0.0)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = Columns(p, np.arange(5000))
+    d = p[None] - q[:, None]
+    d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    inside, got = d2 <= 4.0, found.balls(q, 2.0)
+    assert (inside.sum(1) == got[:, 0]).all() and got[:, 0].max() > 500 and got[:, 0].min() == 0
+    assert np.allclose((d * inside[..., None]).sum(1), got[:, 1:4], atol=1e-8)
+    for k, (a, b) in enumerate(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))):
+        assert np.allclose((d[..., a] * d[..., b] * inside).sum(1), got[:, 4 + k], atol=1e-7)
+    along = np.einsum("ijk,ik->ij", d, v)
+    inside = (abs(along) <= 3.0) & (d2 - along * along <= 1.0)
+    got = found.cylinders(q, v, 1.0, 3.0)
+    assert np.allclose(np.column_stack([(w * inside).sum(1) for w in (inside, along, along * along)]), got, atol=1e-7)
+
+
+def test_m3c2_of_many_points_in_one_place(spark):
+    rng = np.random.default_rng(2)
+    p = np.column_stack([rng.random((20_000, 2)), rng.normal(size=20_000) * 0.001])  # 4 x 10^8 pairs for the normals alone
+    out = change.m3c2(from_arrays(spark, p), from_arrays(spark, p + [0, 0, 0.25]), None, 2.0, 2.0, 3.0).toPandas()
+    assert len(out) == 20_000 and (out.n1 == 20_000).all() and (out.n2 == 20_000).all() and out.significant.all()
+    assert np.allclose(out.distance, 0.25, atol=1e-4) and np.allclose(out.nz, 1, atol=1e-4)
+    same = change.m3c2(from_arrays(spark, p[:9]), from_arrays(spark, p[:9]), None, 2.0, 1e-3, 3.0).toPandas()
+    assert (same.n1 == 1).all() and not same.significant.any()  # a single point, twice
+
+
 def test_tiles_lose_nothing(spark, tmp_path):
     p = np.array([[x, y, 0] for x in range(11) for y in range(11)], float)
     c = from_arrays(spark, p)
